@@ -89,3 +89,11 @@ def plain_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def match_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_anti", row_bytes: int = 24) -> DataFrame:
+    """The rows of docs whose id is not (left_anti) or is (left_semi) in the one-column table `ids`; nulls
+    match nulls. All columns of docs and no others come back."""
+    name = plain_name(docs, "match_id")
+    ids = ids.toDF(name)
+    return join_checked(docs, ids, F.expr(f"`{id_col}` <=> `{name}`"), how, row_bytes)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_checked, materialize
+from .common import discard, join_checked, match_ids, materialize
 from .graph import connected_components
 
 HOT = 4096  # members of a bucket that one task compares at once
@@ -220,16 +220,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     found = materialize(near_duplicates(docs, id_col, text_col, radius).groupBy("id", "component_id").count(), "groups")
     drop = materialize(found.where("not (id <=> component_id)").select("id").distinct(), "drop")
     again = materialize(found.where("id <=> component_id and count > 1").select("id"), "again")
-    width = 16
-    i = F.col(id_col).cast("long")
     rest = docs
     if not drop.isEmpty():
-        rest = join_checked(docs, drop, i.eqNullSafe(drop["id"]), "left_anti", width)
+        rest = match_ids(docs, drop, id_col)
     if again.isEmpty():
         return rest
-    once = join_checked(rest, again, i.eqNullSafe(again["id"]), "left_anti", width)
-    more = join_checked(rest, again, i.eqNullSafe(again["id"]), "left_semi", width)
+    once, more = match_ids(rest, again, id_col), match_ids(rest, again, id_col, "left_semi")
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     row = F.struct(key.alias("h_"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r_"))
-    one = more.groupBy(i.alias("i_")).agg(F.min_by(row, key).alias("o_")).select("o_.r_.*")
+    one = more.groupBy(F.col(f"`{id_col}`").alias("i_")).agg(F.min_by(row, key).alias("o_")).select("o_.r_.*")
     return once.unionAll(one)
