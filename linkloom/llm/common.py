@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +97,17 @@ def match_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_ant
     name = plain_name(docs, "match_id")
     ids = ids.toDF(name)
     return join_checked(docs, ids, F.expr(f"`{id_col}` <=> `{name}`"), how, row_bytes)
+
+
+def ordinals(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
+    """df with its rows' positions (from 0) in the given order: ranges are numbered apart and shifted by
+    the counts of the ranges before, so no task sees all rows."""
+    part = materialize(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ordinals")
+    counts = sorted((r["part_"], r["n"]) for r in part.groupBy("part_").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    at, total = [], 0
+    for p, n in counts:
+        at.append((p, total))
+        total += n
+    shift = df.sparkSession.createDataFrame(at or [(0, 0)], "part_ int, at_ long")
+    rn = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return part.withColumn("rn_", rn).join(F.broadcast(shift), "part_").withColumn(name, F.col("rn_") + F.col("at_")).drop("part_", "rn_", "at_")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, mixing, pii, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontaminate.op2_decontamination,
+        "op4_pii": pii.op4_pii,
+        "op7_mixing": mixing.op7_mixing,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": decontaminate.OP2_SQL}
