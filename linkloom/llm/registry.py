@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, simhash
+from . import chat, decontaminate, mixing, pii, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_warc": warc.op3_warc,
         "op4_pii": pii.op4_pii,
+        "op6_sharding": sharding.op6_sharding,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
+        "op9_chat_format": chat.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL}
+    return {
+        "op2_decontamination": decontaminate.OP2_SQL,
+        "op3_warc": warc.OP3_SQL,
+        "op9_chat_format": chat.OP9_SQL,
+    }
