@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, sharding, simhash, warc
+from . import ann, chat, decontaminate, mixing, pii, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ann_search": ann.op1_ann_search,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_warc": warc.op3_warc,
         "op4_pii": pii.op4_pii,
