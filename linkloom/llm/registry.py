@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, mixing, pii, sharding, simhash, warc
+from . import ann, chat, decontaminate, lm, mixing, pii, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_warc": warc.op3_warc,
         "op4_pii": pii.op4_pii,
+        "op5_quality": quality.op5_quality,
         "op6_sharding": sharding.op6_sharding,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_chat_format": chat.op9_chat_format,
+        "op10_lm_score": lm.op10_lm_score,
     }
 
 
