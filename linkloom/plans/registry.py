@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import reports
+
+ALL = [reports]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in ALL for k, v in m.plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in ALL for k, v in m.plans.sql.items()}
