@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reports
+from . import content, reports
 
-ALL = [reports]
+ALL = [reports, content]
 
 
 def queries() -> dict:
