@@ -55,20 +55,18 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     parents = nodes.select(F.col("tree").alias("p_tree"), F.col("node").alias("p_node")).distinct()
     start = (nodes.join(parents, F.expr("tree <=> p_tree and parent = p_node"), "left")
              .select("tree", "node", F.col("p_node").alias("anc"), F.when(F.col("p_node").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
+    # only pointers that are still open are joined on; a node that has reached its root rests
     steps, now = [], materialize(start, "up")
     for _ in range(64):
         open_ = now.where("anc is not null")
         if open_.isEmpty():
             break
         steps.append(now)
-        nxt = now.alias("a").join(now.alias("b"), _same("a", "b", "anc", "node"), "left").select(
-            "a.tree", "a.node", F.col("b.anc").alias("anc"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-            (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
-        longest = now.agg(F.max("depth")).first()[0]
-        if len(steps) > 1 and longest > 2 * now.count():  # only cycles are left
-            now = now.where("anc is null")
+        nxt = open_.alias("a").join(now.alias("b"), _same("a", "b", "anc", "node")).select(
+            "a.tree", "a.node", F.col("b.anc").alias("anc"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        now = materialize(now.where("anc is null").unionByName(nxt), "up")
+        if (now.where("anc is not null").agg(F.max("depth")).first()[0] or 0) > 2 * now.count():  # only cycles are left
             break
-        now = materialize(nxt, "up")
     have_child = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = now.where("anc is null").alias("a").join(have_child.alias("b"), _same("a", "b", "node", "node"), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), "node"))
