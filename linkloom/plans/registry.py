@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, reports
+from . import content, insight, reports
 
-ALL = [reports, content]
+ALL = [reports, content, insight]
 
 
 def queries() -> dict:

@@ -35,7 +35,7 @@ SITE = {
         o_orderkey % 37 broken, o_custkey % 53 opportunities, cast(o_custkey % 60 as double) / 10 avg_depth from {orders}""",
     "activity": """select o_orderkey id, o_custkey post_id, case o_orderstatus when 'F' then 'insert' when 'O' then 'replace' else 'remove' end action, o_orderpriority summary,
         case when o_orderkey % 4 = 0 then '' else concat('b', cast(floor(o_orderkey / 50) as bigint)) end batch, o_orderkey % 5 = 0 reverted, o_orderdate created from {orders}""",
-    "rejections": """select o_custkey % 60 post_id, o_orderkey % 40 target, concat(case when o_orderkey % 2 = 0 then 'Topic ' else 'topic ' end, o_orderkey % 25) anchor, o_orderkey at,
+    "rejections": """select o_custkey % 60 post_id, o_orderkey % 40 target, concat(case when o_orderkey % 2 = 0 then 'Topic ' else 'topic ' end, o_orderkey % 25) anchor, o_orderkey happened,
         case when o_orderkey % 331 = 0 then 'restore_anchor' when o_orderkey % 127 = 0 then 'restore_pair' else 'reject' end kind from {orders} where o_orderkey % 11 = 0""",
     "membership": """select p_partkey + 1 post_id, cast(p_size % 12 as bigint) cluster from {part} where p_partkey % 5 <> 0
         union all select p_partkey + 1, cast((p_size + 1) % 12 as bigint) from {part} where p_partkey % 7 = 0 and p_partkey % 5 <> 0""",
