@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ANCHOR = r"""(?is)<a\s[^>]*href=(["'])(.*?)\1[^>]*>(.*?)</a>"""
 TOKEN = r"\p{L}[\p{L}\p{N}'’]*"
@@ -33,7 +34,7 @@ def decode_common(c: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
@@ -66,17 +67,34 @@ def normalize_anchor(c: Column) -> Column:
     return F.lower(F.btrim(collapse(decode_common(strip_tags(c))), F.lit(TRIM)))
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def stem(c: Column) -> Column:
     """A rough English stem: plurals, -ed and -ing, final y, -ly. Short and non-ASCII words are only lowered."""
     cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
-    fix = lambda x: (F.when(x.rlike("(?:at|bl|iz)$"), F.concat(x, F.lit("e"))).when((F.length(x) > 2) & x.rlike(r"([^aeioulsz])\1$"), cut(x, 1)).otherwise(x))
-    w = F.lower(c)
-    a = F.regexp_replace(w, "(?:(?<=ss)es|(?<=i)es|(?<!s)s)$", "")
-    b = (F.when(a.rlike("eed$"), F.when(F.regexp_replace(cut(a, 3), "[^a-z]", "").rlike("[aeiou][^aeiou]"), cut(a, 1)).otherwise(a))
-         .when(a.rlike("[aeiouy].*ed$"), fix(cut(a, 2))).when(a.rlike("[aeiouy].*ing$"), fix(cut(a, 3))).otherwise(a))
-    d = F.when(b.rlike("[aeiouy].*y$"), F.concat(cut(b, 1), F.lit("i"))).otherwise(b)
-    e = F.when(d.rlike("ly$") & (F.length(d) > 4), cut(d, 2)).otherwise(d)
-    return F.when(w.rlike("^[a-z][a-z'-]*$") & (F.length(w) > 3), e).otherwise(w)
+
+    def repair(x):
+        return F.when(x.rlike("(?:at|bl|iz)$"), F.concat(x, F.lit("e"))).when((F.length(x) > 2) & x.rlike(r"([^aeioulsz])\1$"), cut(x, 1)).otherwise(x)
+
+    def tense(a):
+        agreed = F.regexp_replace(cut(a, 3), "[^a-z]", "").rlike("[aeiou][^aeiou]")
+        return (F.when(a.rlike("eed$"), F.when(agreed, cut(a, 1)).otherwise(a)).when(a.rlike("[aeiouy].*ed$"), let(cut(a, 2), repair))
+                .when(a.rlike("[aeiouy].*ing$"), let(cut(a, 3), repair)).otherwise(a))
+
+    def final_y(b):
+        return F.when(b.rlike("[aeiouy].*y$"), F.concat(cut(b, 1), F.lit("i"))).otherwise(b)
+
+    def no_ly(d):
+        return F.when(d.rlike("ly$") & (F.length(d) > 4), cut(d, 2)).otherwise(d)
+
+    def english(w):
+        singular = F.regexp_replace(w, "(?:(?<=ss)es|(?<=i)es|(?<!s)s)$", "")
+        return F.when(w.rlike("^[a-z][a-z'-]*$") & (F.length(w) > 3), let(let(let(singular, tense), final_y), no_ly)).otherwise(w)
+
+    return let(F.lower(c), english)
 
 
 def tokens(c: Column) -> Column:
@@ -84,14 +102,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
-def positioned_tokens(c: Column) -> Column:
-    """array<struct<o, start, len>>: tokens with their offsets in characters."""
-    gaps, words = F.split(c, TOKEN), tokens(c)
-    at = F.aggregate(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(words)).alias("g"), words.alias("w")), F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<o:string,start:int,len:int>>").alias("out")),
-                     lambda acc, x: F.struct((acc["pos"] + F.length(x["g"]) + F.length(x["w"])).alias("pos"), F.concat(acc["out"], F.array(F.struct(x["w"].alias("o"), (acc["pos"] + F.length(x["g"])).alias("start"), F.length(x["w"]).alias("len")))).alias("out")))
-    return at["out"]
-
-
 def url_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), "/+$", "")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.functions import scoring, text
 from linkloom.operators.reports import published
@@ -175,7 +176,7 @@ def index_status(posts: DataFrame, stored: DataFrame, model: str) -> DataFrame:
     return now.agg(F.count("*").alias("total"), F.count_if(F.col("hash") == F.col("old")).alias("done"), F.count_if(F.col("old").isNotNull() & (F.col("hash") != F.col("old"))).alias("stale"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_vector(s: pd.Series) -> pd.Series:
     """Vectors from base64 of little-endian float32; bad ones are null."""
     import base64
@@ -189,7 +190,7 @@ def unpack_vector(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pack_vector(s: pd.Series) -> pd.Series:
     import base64
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, insight, reports
+from . import content, engines, insight, reports
 
-ALL = [reports, content, insight]
+ALL = [reports, content, insight, engines]
 
 
 def queries() -> dict:
