@@ -209,9 +209,10 @@ def history_series_90(s, d):
 
 
 @plans.add("history_trends", HIST + """, u as (unpivot (select taken_on, internal::double internal, orphaned::double orphaned, broken::double broken, opportunities::double opportunities from h) on internal, orphaned, broken, opportunities into name metric value v),
- t as (select metric, min_by(v, taken_on) "then", max_by(v, taken_on) now from u group by metric) select metric, "then", now, now - "then" change, case when abs(now - "then") > 0.0001 then case when metric = 'internal' then now > "then" else now < "then" end end good from t""")
+ t as (select metric, min_by(v, taken_on) "then", max_by(v, taken_on) now from u group by metric) select metric, "then", now, now - "then" change, case when abs(now - "then") <= 0.0001 then 'flat' when (metric = 'internal') = (now > "then") then 'good' else 'bad' end good from t""")
 def history_trends(s, d):
-    return B.trends(_history(s, d))
+    good = F.when(F.col("good").isNull(), "flat").when(F.col("good"), "good").otherwise("bad")
+    return B.trends(_history(s, d)).withColumn("good", good)
 
 
 @plans.add("history_lag", HIST + "select cast(taken_on as varchar) taken_on, internal - lag(internal) over w d_internal, orphaned - lag(orphaned) over w d_orphaned, broken - lag(broken) over w d_broken, opportunities - lag(opportunities) over w d_opportunities from h window w as (order by taken_on)")
