@@ -80,6 +80,17 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
+def _placed(kind: str):
+    """From a match and its number: the match, the length of the gap before it and the text nearby."""
+
+    def one(x, i):
+        before, after = F.get(f"p_{kind}", i), F.get(f"p_{kind}", i + 1)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), x.alias("match"),
+                        F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT))).alias("near"))
+
+    return one
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, kind, start, end, match, score): the kept spans, positions in code points, end
     exclusive; each input row also gives one row with a null kind. uid tells rows that repeat an id apart.
@@ -93,19 +104,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.monotonically_increasing_id().alias("uid"), "doc_id", "text", text.rlike("[0-9]").alias("digit"))
     shape = "array<struct<kind:string,i:int,gap:int,match:string,near:string>>"
     parts = [F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("string").alias("near"))).cast(shape)]
+    # matches and pieces are columns of their own: inside a lambda they would be searched for again for each match
+    cols = {}
     for kind, needs, pattern in KINDS:
         has = F.col("digit") if needs == "0" else text.contains(needs) & (F.col("digit") if needs == "+" else F.lit(True))
-        found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-
-        def spans(m, p, kind=kind):
-            def one(x, i):
-                before, after = F.element_at(p, i + 1), F.element_at(p, i + 2)
-                return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), x.alias("match"),
-                                F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT))).alias("near"))
-
-            return F.transform(m, one)
-
-        parts.append(F.when(has, spans(found, pieces)).otherwise(F.array().cast(shape)).cast(shape))
+        cols[f"m_{kind}"] = F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        cols[f"p_{kind}"] = F.when(has, F.split(text, pattern))
+    rows = rows.select("uid", "doc_id", *[c.alias(n) for n, c in cols.items()])
+    parts += [F.coalesce(F.transform(f"m_{kind}", _placed(kind)), F.array().cast(shape)).cast(shape) for kind, _, _ in KINDS]
     spread = rows.select("uid", "doc_id", F.explode(F.concat(*parts)).alias("s")).select("uid", "doc_id", "s.*")
     each = W.partitionBy("uid", "kind").orderBy("i")
     size = F.length("match")
