@@ -186,3 +186,23 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     for r in seen[4][2].collect():
         sizes[r["shard"]] += len(r["text"].encode()) + 1
     assert sum(zlib.crc32(t.encode()) for _, t in text["mixing"]) == sum(zlib.crc32(t.encode()) for _, t in text["sharding"]) and len(sizes) == 16
+
+
+def test_quality_rare_words_do_not_hide_toxic_ones(spark):
+    """Held out: one toxic word in a text of words that are mostly rare, beside thousands of features of chance."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), 5))
+    rows, marks = [], []
+    for i in range(600):
+        words = [word() for _ in range(60)]
+        toxic = i % 6 == 0
+        if toxic:
+            words[int(rng.integers(0, 60))] = ("idiot!", "Scum", "moron")[i // 6 % 3]
+        rows.append((i, " ".join(words), f"h{i % 3}", "en"))
+        if i >= 300:
+            marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["keep"] for r in quality.score(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    clean, toxic = [got[i] for i in range(300) if i % 6], [got[i] for i in range(0, 300, 6)]
+    assert sum(clean) >= 0.97 * len(clean)
+    assert sum(toxic) <= 0.4 * len(toxic)
