@@ -21,10 +21,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_checked, match_ids, materialize
+from .common import discard, join_checked, match_ids, materialize, plain_name
 from .graph import connected_components
 
 HOT = 4096  # members of a bucket that one task compares at once
@@ -49,16 +49,18 @@ def simhash64(data: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp) and the long columns of `carry`: fp is the fingerprint's 64 bits as a signed long."""
+    carry = carry or {}
+    names = ["id", "fp", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash64(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(1).cast(pa.binary())], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=names)
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "id long, fp long")
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in carry.items()])
+    return kept.mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -189,6 +191,15 @@ def links(classes: DataFrame, n: int, radius: int = 3) -> DataFrame:
     return (dealt.repartition("t", "k", "x", "y").sortWithinPartitions("t", "k", "x", "y", "fp").mapInArrow(compare, "src long, dst long"))
 
 
+def components(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, root) of the fingerprints of `classes` (column fp, distinct) that have links; root is the
+    component's least fingerprint."""
+    edges = materialize(links(classes, classes.count(), radius).distinct(), "links")
+    comp = materialize(connected_components(edges).withColumnRenamed("node", "fp"), "comp")
+    discard(edges)
+    return comp
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """(id, fp, component_id) per input row; component_id is the least id reachable over links.
 
@@ -198,10 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fp")
     classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "fpc")
-    edges = materialize(links(classes, classes.count(), radius).distinct(), "links")
-    comp = materialize(connected_components(edges).withColumnRenamed("node", "fp"), "comp")
-    discard(edges)
-    linked = classes.join(comp, "fp")
+    linked = classes.join(components(classes, radius), "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = materialize(linked.join(ids, "root").select("fp", "component_id"), "compid")
     named = classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -214,19 +222,18 @@ def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The documents of `docs`, one of each group of near-duplicates: the one with the least id (of rows
-    that repeat an id, the one least by its columns). Rows with a null id are kept only where no row of their
-    group has an id. All columns come back."""
-    found = materialize(near_duplicates(docs, id_col, text_col, radius).groupBy("id", "component_id").count(), "groups")
-    drop = materialize(found.where("not (id <=> component_id)").select("id").distinct(), "drop")
-    again = materialize(found.where("id <=> component_id and count > 1").select("id"), "again")
-    rest = docs
-    if not drop.isEmpty():
-        rest = match_ids(docs, drop, id_col)
-    if again.isEmpty():
-        return rest
-    once, more = match_ids(rest, again, id_col), match_ids(rest, again, id_col, "left_semi")
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    row = F.struct(key.alias("h_"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r_"))
-    one = more.groupBy(F.col(f"`{id_col}`").alias("i_")).agg(F.min_by(row, key).alias("o_")).select("o_.r_.*")
-    return once.unionAll(one)
+    """The documents of `docs`, one row of each group of near-duplicates: the one with the least id (of rows
+    that repeat an id, the one least by a hash of its columns). Rows are judged one by one: of a repeated id
+    each group keeps its own row, and rows with a null id are kept only where no row of their group has an
+    id, again one of each group. All columns come back."""
+    key = plain_name(docs, "row")
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    fps = materialize(fingerprints(rows, id_col, text_col, {"tie": F.xxhash64(*hashed), "row": F.col(key)}), "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie", "row")).alias("best")
+    classes = materialize(fps.groupBy("fp").agg(first), "fpc")
+    rooted = classes.join(components(classes, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = materialize(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row"), "kept")
+    drop = materialize(fps.select("row").join(kept, "row", "left_anti"), "drop")
+    out = rows if drop.isEmpty() else match_ids(rows, drop, key)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -174,6 +174,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert simhash.near_duplicates(table(spark, [])).count() == 0 and simhash.keep_one(table(spark, [])).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    docs = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (2, text("d")), (2, text("e")), (2, text("e")), (3, text("d")), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(table(spark, docs)).collect()]
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("d")), (2, text("e")), (None, None)]
+    assert Counter(got) == Counter(want)
+    maps = table(spark, docs).withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
+    assert simhash.keep_one(maps).count() == len(want)
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(1, 60)), None if i % 9 == 0 else f"s{i % 7 % 5}") for i in range(900)] + [(1000, None, "s0"), (1001, "", "tiny"), (1002, " ", None), (5, "w " * 10, "s1"), (5, "w " * 10, "s1")]
