@@ -99,6 +99,23 @@ def match_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_ant
     return join_checked(docs, ids, F.expr(f"`{id_col}` <=> `{name}`"), how, row_bytes)
 
 
+def null_mark(id_: Column, *by: Column) -> Column:
+    """What tells rows with a null id apart: a hash of the columns that a verdict rests on; null where there is an id."""
+    parts = [F.coalesce(F.sha2(c.cast("string"), 256), F.lit("")) for c in by]
+    return F.when(id_.isNull(), F.sha2(F.concat_ws(",", *parts), 256))
+
+
+def drop_rejected(docs: DataFrame, bad: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of docs that `bad` (id, mark of null_mark(); materialized) does not name: all rows of a rejected
+    id go, rows with a null id only where their mark is rejected."""
+    id_, ids, marks = F.col(f"`{id_col}`"), bad.where("mark is null").select("id"), bad.where("mark is not null").select("mark").distinct()
+    if marks.isEmpty():
+        return docs if ids.isEmpty() else match_ids(docs, ids, id_col)
+    name = plain_name(docs, "mark")
+    unnamed = match_ids(docs.where(id_.isNull()).withColumn(name, mark), marks, name, row_bytes=80).drop(name)
+    return match_ids(docs.where(id_.isNotNull()), ids, id_col).unionAll(unnamed)
+
+
 def ordinals(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
     """df with its rows' positions (from 0) in the given order: ranges are numbered apart and shifted by
     the counts of the ranges before, so no task sees all rows."""

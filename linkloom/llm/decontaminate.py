@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, join_checked, lower_ascii, match_ids, materialize
+from .common import discard, drop_rejected, join_checked, lower_ascii, materialize, null_mark
 
 #: Between words: ASCII other than digits and letters (A-Z are lowered before they are compared).
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -117,11 +117,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no window of the benchmark. A contaminated row's id goes
     with all rows of that id; rows with a null id are judged by their text alone."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    mark = null_mark(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text"))
     wins = materialize(windows(benchmark, window), "items")
     found = find_windows(rows, prefixes(rows, wins)).where("wid is not null")
-    bad = materialize(found.select("doc_id").distinct(), "bad")
-    return docs if bad.isEmpty() else match_ids(docs, bad, id_col)
+    bad = materialize(found.select("id", "mark").distinct(), "bad")
+    return drop_rejected(docs, bad, id_col, mark)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

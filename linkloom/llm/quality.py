@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_checked, match_ids, materialize
+from .common import discard, drop_rejected, join_checked, materialize, null_mark
 
 TRAIN_ROWS = 8000
 FEATURES = 500  # kept for each of the two regressions, by their G statistic: held-out error rises again beyond
@@ -179,18 +179,27 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored each by its text; labels without a document or with null quality are left out; without any labels all
     evidence is a fixed prior and all rows are kept; an empty table gives no rows.
     """
+    return _score(docs, labels, id_col, text_col, host_col, path_col, threshold, train_rows)
+
+
+def _score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, threshold: float, train_rows: int = TRAIN_ROWS,
+           mark: Column | None = None) -> DataFrame:
+    """score(), and the string column `mark` of docs if it is given."""
     model = fit(docs, labels, id_col, text_col, train_rows)
+    extra = [] if mark is None else ["mark"]
+    names = ["doc_id", "host", "path", "evidence", *extra]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = [model.good(x.as_py()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(p, pa.float64())], names=["doc_id", "host", "path", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(p, pa.float64()), *b.columns[4:]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    seen = materialize(rows.mapInArrow(judge, f"doc_id {kind}, host string, path string, evidence double"), "evidence")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"),
+                       *([] if mark is None else [mark.alias("mark")]))
+    seen = materialize(rows.mapInArrow(judge, f"doc_id {kind}, host string, path string, evidence double" + "".join(f", {c} string" for c in extra)), "evidence")
     known = labelled(labels).select("l_id", (F.col("quality") * (1 - F.col("toxic"))).cast("double").alias("label"))
-    told = materialize(seen.join(known, F.expr("cast(doc_id as bigint) = l_id"), "left").select("doc_id", "host", "path", "evidence", F.coalesce("label", "evidence").alias("e")), "told")
+    told = materialize(seen.join(known, F.expr("cast(doc_id as bigint) = l_id"), "left").select(*names, F.coalesce("label", "evidence").alias("e")), "told")
     discard(seen)
     paths = materialize(told.groupBy("host", "path").agg(F.sum("e").alias("pe"), F.count("*").alias("pn")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("pe").alias("he"), F.sum("pn").alias("hn"))
@@ -204,13 +213,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     site = (k2 * F.col("hm") + F.col("pe") - F.col("e")) / (k2 + F.col("pn") - 1)
     odds = _logit(F.col("evidence")) - F.lit(math.log(model.prior / (1 - model.prior))) + _logit(F.col("site"))
     out = j.withColumn("site", site).withColumn("posterior", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("site", 6).alias("site"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= threshold).alias("keep"))
+    return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("site", 6).alias("site"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= threshold).alias("keep"), *extra)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; rows that share an id go together."""
-    bad = materialize(score(docs, labels, id_col, text_col, host_col, path_col, threshold).where("not keep").select("doc_id").distinct(), "rejected")
-    return docs if bad.isEmpty() else match_ids(docs, bad, id_col)
+    """The rows of docs that are kept, with all their columns; rows that share an id go together, rows with a
+    null id are judged one by one."""
+    mark = null_mark(*[F.col(f"`{c}`") for c in (id_col, text_col, host_col, path_col)])
+    bad = _score(docs, labels, id_col, text_col, host_col, path_col, threshold, mark=mark).where("not keep")
+    return drop_rejected(docs, materialize(bad.select(F.col("doc_id").alias("id"), "mark").distinct(), "rejected"), id_col, mark)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -106,6 +106,17 @@ def test_quality_separates_and_shrinks(spark):
     assert quality.keep_good(docs, labels.where("false")).count() == len(rows)
 
 
+def test_quality_judges_null_ids_by_row(spark):
+    good, bad = "the calm river flows past green fields and old stone houses ", "WIN!! CASH!! NOW!! CLICK!! "
+    rows = [(i, (bad if i % 4 == 0 else good) + f"id{i}", f"h{i % 5}", "en") for i in range(400)]
+    none = [(None, bad, "h1", "en"), (None, good, "h1", "en"), (None, good, "h1", "en"), (None, good + "more", None, "en")]
+    docs = spark.createDataFrame(rows + none, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert Counter(map(tuple, kept.where("doc_id is null").collect())) == Counter(none[1:])
+    assert kept.columns == docs.columns and kept.where("doc_id % 4 = 0").count() == 0 and kept.where("doc_id % 2 = 1").count() == 200
+
+
 def test_min_cost_flow_moves_the_fewest():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -122,6 +122,14 @@ def test_decontamination_empty(spark):
     assert decontaminate.contamination(table(spark, []), full).count() == 0
 
 
+def test_decontamination_judges_null_ids_by_text(spark):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    docs = [*DOCS, (None, "a short item"), (None, "clean one"), (None, "clean two"), (None, "clean two"), (None, None)]
+    kept = decontaminate.clean_documents(table(spark, docs), bench)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert Counter(got) == Counter([(4, None), (5, "?!"), (6, "other words é"), *docs[-4:]]) and kept.columns == table(spark, docs).columns
+
+
 def brute_simhash(t):
     import xxhash
 
