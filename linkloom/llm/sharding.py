@@ -23,6 +23,7 @@ from .common import delete_path, discard, materialize, plain_name, scratch_path
 
 BLOCK_ROWS = 4096
 BLOCK_BITS = 16
+HEAVY_BITS = 16  # repeats of one id and text that hold more than 2^-16 of all bytes are spread over blocks
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -87,8 +88,9 @@ def reshard(docs: DataFrame, path: str, shards: int = 16, old_shard: Column | No
     shard and slot (named otherwise where docs has such columns; slots run from 0 in each shard).
 
     old_shard: the present shard of a row (0 to old_shards - 1); by default its id's hash. Old shard i is
-    new shard i where both exist. Defined cases: a null text has size 1; null ids are ids; rows that repeat are
-    placed one by one; an empty table writes an empty one; columns of docs come back unchanged.
+    new shard i where both exist. Defined cases: a null text has size 1; null ids are ids; rows that repeat id
+    and text are placed one by one where they hold many bytes together, else as one document; an empty table writes
+    an empty one; columns of docs come back unchanged.
     """
     spark = docs.sparkSession
     old = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(old_shards)) if old_shard is None else old_shard
@@ -97,6 +99,15 @@ def reshard(docs: DataFrame, path: str, shards: int = 16, old_shard: Column | No
     meta = materialize(rows.select("rs_old_", "rs_h_", "rs_size_"), "sizes")
     held = {r["o"]: (r["s"], r["n"]) for r in meta.groupBy(F.col("rs_old_").alias("o")).agg(F.sum("rs_size_").alias("s"), F.count("*").alias("n")).collect()}  # a row for each old shard
     supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
+    heavy = materialize(meta.groupBy("rs_old_", "rs_h_").agg(F.count("*").alias("n"), F.sum("rs_size_").alias("s")).where((F.col("n") > 1) & (F.col("s") > sum(supply) >> HEAVY_BITS)).select("rs_old_", "rs_h_"), "heavy")
+    copies = None
+    if not heavy.isEmpty():
+        few = F.broadcast(heavy)  # at most 2^HEAVY_BITS rows, by their bytes
+        # written, so that each row keeps its salt
+        copies = materialize(rows.join(few, ["rs_old_", "rs_h_"], "left_semi").withColumn("rs_h_", F.xxhash64("rs_h_", F.monotonically_increasing_id())), "copies")
+        rows = rows.join(few, ["rs_old_", "rs_h_"], "left_anti").select(*[F.col(f"`{c}`") for c in copies.columns]).unionAll(copies)
+        light, meta = meta, materialize(meta.join(few, ["rs_old_", "rs_h_"], "left_anti").unionAll(copies.select("rs_old_", "rs_h_", "rs_size_")), "sizes")
+        discard(light)
     capacity = capacities or even_capacities(sum(supply), shards)
     flow = min_cost_flow(supply, capacity, lambda i, j: int(i != j))
     count = sum(n for _, n in held.values())
@@ -127,10 +138,10 @@ def reshard(docs: DataFrame, path: str, shards: int = 16, old_shard: Column | No
             to.append(parts[0][2])
             heapq.heapreplace(parts, [parts[0][0] + int(s), *parts[0][1:]])
         pdf["t_to"] = to
-        return pdf[["rs_old_", "rs_h_", "rs_size_", "t_to"]]
+        return pdf[["rs_old_", "rs_h_", "t_to"]]
 
-    dealt = materialize(meta.withColumn("blk", blk).join(F.broadcast(torn), ["rs_old_", "blk"]).groupBy("rs_old_", "blk").applyInPandas(deal, "rs_old_ int, rs_h_ long, rs_size_ long, t_to int")
-                        .groupBy("rs_old_", "rs_h_").agg(F.min("t_to").alias("t_to")), "dealt")
+    units = meta.withColumn("blk", blk).join(F.broadcast(torn.select("rs_old_", "blk")), ["rs_old_", "blk"], "left_semi").groupBy("rs_old_", "blk", "rs_h_").agg(F.sum("rs_size_").alias("rs_size_"))
+    dealt = materialize(units.join(F.broadcast(torn), ["rs_old_", "blk"]).groupBy("rs_old_", "blk").applyInPandas(deal, "rs_old_ int, rs_h_ long, t_to int"), "dealt")
     shard, slot = plain_name(docs, "shard"), plain_name(docs, "slot")
 
     def placed(df):
@@ -146,7 +157,7 @@ def reshard(docs: DataFrame, path: str, shards: int = 16, old_shard: Column | No
     final = laid.withColumn("rn", rn).join(F.broadcast(base), ["rs_to_", "rs_old_", "blk"]).select("row_.*", (F.col("rn") + F.col("base")).cast("long").alias(slot), F.col("rs_to_").alias(shard))
     schema = final.schema
     final.write.mode("overwrite").partitionBy(shard).parquet(path)
-    for t in (meta, blocks, split, dealt, base):
+    for t in (meta, heavy, copies, blocks, split, dealt, base):
         discard(t)
     return spark.read.schema(schema).parquet(path)
 

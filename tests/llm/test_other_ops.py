@@ -149,6 +149,22 @@ def test_reshard(spark, tmp_path, monkeypatch):
     assert sharding.reshard(docs.where("false"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_reshard_spreads_repeated_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 8)
+    rows = [(i, "y" * (i * 37 % 100)) for i in range(600)] * 2 + [(None, "z" * 80)] * 500  # pairs, and two fifths of all bytes in one row's copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for bits in (16, 8):  # pairs spread too, or placed as one
+        monkeypatch.setattr(sharding, "HEAVY_BITS", bits)
+        got = sharding.reshard(docs, f"file://{tmp_path}/s{bits}", shards=5, old_shards=3).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+        sizes, slots = Counter(), {}
+        for r in got:
+            sizes[r["shard"]] += len(r["text"]) + 1
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(sizes) == 5
+        assert max(sizes.values()) - min(sizes.values()) <= 400
+
+
 def test_chat_trees_and_escapes(spark):
     nodes = [(1, 1, None, "user", "a<s>", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 3, 1, "assistant", "<|im_end|>\n<\\\\s>", 5.0), (1, 4, 3, None, None, 0.0), (1, 5, 2, "ro\\le\nx", "e", 9.0),
              (2, 1, 2, "user", "x", 0.0), (2, 2, 1, "user", "y", 0.0), (2, 3, 2, "user", "z", 0.0), (3, 7, 99, "user", "", None), (None, 1, None, "user", "n", 0.0)]
