@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text
 
+ROWS_PER_FILE = 1_000_000  # spreadsheets take little more
+
 #: The header of each export.
 HEADERS = {
     "autolinks": "keyword url case_sensitive partial_match new_tab nofollow max_per_post active",
@@ -32,8 +34,13 @@ def export(df: DataFrame, kind: str) -> DataFrame:
     return defused(df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in cols]))
 
 
-def write_csv(df: DataFrame, path: str, kind: str | None = None) -> None:
-    (export(df, kind) if kind else defused(df)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, kind: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Writes df as CSV files of at most rows_per_file rows, each with the header: one file for an export of up to
+    that many rows, an empty one included."""
+    out = export(df, kind) if kind else defused(df)
+    files = max(1, -(-out.count() // rows_per_file))
+    csv = out.repartition(files).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "")
+    csv.option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def report_export(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from linkloom.operators import rewrite as X
 from linkloom.operators import suggest as S
@@ -96,9 +97,16 @@ def test_walk_columns():
 
 def test_export_header_and_csv(spark, tmp_path):
     df = spark.createDataFrame([("=evil", 3, 2)], "host string, links long, posts_linking long")
-    sinks.write_csv(df, str(tmp_path / "out"), "domains")
-    body = next((tmp_path / "out").glob("part-*.csv")).read_text()
-    assert body.splitlines() == ["host,links,posts_linking", "'=evil,3,2"]
+    files = lambda name: [f.read_text().splitlines() for f in sorted((tmp_path / name).glob("part-*.csv"))]
+    sinks.write_csv(df.repartition(5), str(tmp_path / "out"), "domains")
+    assert files("out") == [["host,links,posts_linking", "'=evil,3,2"]]
+    sinks.write_csv(df.where("false"), str(tmp_path / "none"), "domains")
+    assert files("none") == [["host,links,posts_linking"]]
+    many = spark.range(25).select(F.col("id").cast("string").alias("host"), F.lit(1).alias("links"), F.lit(2).alias("posts_linking"))
+    sinks.write_csv(many, str(tmp_path / "many"), "domains", rows_per_file=10)
+    got = files("many")
+    assert {f[0] for f in got} == {"host,links,posts_linking"} and all(2 <= len(f) <= 11 for f in got)
+    assert sorted(int(r.split(",")[0]) for f in got for r in f[1:]) == list(range(25))
     assert all(h.split() for h in sinks.HEADERS.values()) and len(sinks.HEADERS) == 9
 
 
