@@ -1,29 +1,32 @@
 """Resharding by minimum-cost flow: move the fewest bytes from old shards into new capacities.
 
-The flow runs between old shards (what they hold) and new shards (what they should hold); a byte that
-stays costs nothing, one that moves costs one. Its solution is a few block transfers per shard. Within
-an old shard documents stand in the order of a hash, cut into blocks by its leading bits, so a transfer
-is an interval of that order. Whole blocks go by their place; the few blocks that straddle a cut
-(at most one per transfer, each of bounded size) are dealt document by document, largest first, to the
-interval with the most room left, so shards come out near equal to within small documents.
-
-Scale: one narrow pass for sizes; block totals are small (at most 2^BLOCK_BITS per old shard); the texts
-are shuffled once, by ranges of (new shard, block), which is the layout that is written.
+A sharded corpus is a folder of block files and a manifest: each file with its shard, rows, bytes and the slot of
+its first row (a row's slot is that plus its place in the file). The flow runs between old shards (what they hold)
+and new shards (what they should hold); a byte that stays costs nothing, one that moves costs one. Its solution
+cuts the block files of an old shard, in their order, into intervals, one per new shard, the one that stays first. Files in an
+interval that stays are not touched. Files in one that goes are rewritten under their new shard. Files that straddle a
+cut (at most one per transfer) are dealt document by document, largest first, to the interval with the most room left,
+so shards come out near equal to within small documents, whatever ids and texts repeat.
+
+Scale: texts are never shuffled. They are written once as block files and the affected ones once more. Blocks
+grow with the table so that there are never more than about 2 * MAX_BLOCKS; the plan over them is made on the driver and
+the manifest, of bounded size, is broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import delete_path, discard, materialize, plain_name, scratch_path
+from .common import delete_path, discard, join_checked, materialize, plain_name, scratch_path
 
-BLOCK_ROWS = 4096
-BLOCK_BITS = 16
-HEAVY_BITS = 16  # repeats of one id and text that hold more than 2^-16 of all bytes are spread over blocks
+BLOCK_ROWS = 4096  # rows of a block file, unless the table would have more than MAX_BLOCKS of these
+MAX_BLOCKS = 1 << 16
+MANIFEST = "file string, shard int, base long, rows long, bytes long"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -82,84 +85,161 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text.cast("string")), F.lit(0)) + 1).cast("long")
 
 
-def reshard(docs: DataFrame, path: str, shards: int = 16, old_shard: Column | None = None, old_shards: int = 12, id_col: str = "doc_id",
-            text_col: str = "text", capacities: list[int] | None = None) -> DataFrame:
-    """Writes docs under `path`, one folder per new shard, and returns them as read back, with columns
-    shard and slot (named otherwise where docs has such columns; slots run from 0 in each shard).
+@dataclass(frozen=True)
+class Moves:
+    """What a resharding did: bytes that the flow moves, bytes of the documents that changed their shard (they differ by
+    less than a document for each cut), files that were left alone and files that were rewritten."""
 
-    old_shard: the present shard of a row (0 to old_shards - 1); by default its id's hash. Old shard i is
-    new shard i where both exist. Defined cases: a null text has size 1; null ids are ids; rows that repeat id
-    and text are placed one by one where they hold many bytes together, else as one document; an empty table writes
-    an empty one; columns of docs come back unchanged.
+    cost: int
+    moved: int
+    kept: int
+    rewritten: int
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The block files of the corpus as it is now: file, shard, base, rows, bytes; at most about 2 * MAX_BLOCKS rows."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v{_versions(spark, path)[-1]}")
+
+
+def _files(spark: SparkSession, path: str, paths: list[str] | None = None, schema=None) -> tuple[DataFrame, Column, Column]:
+    """Block files (all, or those given), and the columns of a row's file (its path below files/) and its place in it."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    df = (reader.schema(schema) if schema is not None else reader).parquet(*(paths if paths is not None else [f"{path}/files"]))
+    meta = df.metadataColumn("_metadata")
+    return df, F.substring_index(meta["file_path"], "/files/", -1), meta["row_index"]
+
+
+def _blocks(spark: SparkSession, path: str, folder: str, schema) -> list:
+    """(path, file, rows, bytes) of each file of a folder, by name: a row per block file."""
+    df, name, _ = _files(spark, path, [f"{path}/files/{folder}"], schema)
+    meta = df.metadataColumn("_metadata")
+    size = F.col(f"`{df.columns[-1]}`")
+    return sorted(df.select(name.alias("f"), meta["file_path"].alias("p"), size.alias("s")).groupBy("f", "p").agg(F.count("*").alias("n"), F.sum("s").alias("s")).collect())
+
+
+def _commit(spark: SparkSession, path: str, version: int, blocks: list[tuple[str, int, int, int]]) -> None:
+    """Writes the manifest of (file, shard, rows, bytes): with it the new layout is in force."""
+    at: dict[int, int] = {}
+    rows = []
+    for f, shard, n, size in blocks:
+        rows.append((f, shard, at.get(shard, 0), n, size))
+        at[shard] = at.get(shard, 0) + n
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{version}")
+
+
+def lay_out(docs: DataFrame, path: str, shards: int = 12, text_col: str = "text") -> None:
+    """Writes docs as a corpus of block files under path: runs of files, in the order of docs' partitions, are its shards.
+
+    Defined cases: an empty table writes a corpus without rows; nulls, repeated rows and ids, texts of any length and
+    columns of any name are written as they are, with one more column, a row's bytes.
     """
     spark = docs.sparkSession
-    old = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(old_shards)) if old_shard is None else old_shard
-    h = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"), F.lit("shard"))
-    rows = docs.withColumns({"rs_old_": old.cast("int"), "rs_h_": h, "rs_size_": text_size(F.col(f"`{text_col}`"))})
-    meta = materialize(rows.select("rs_old_", "rs_h_", "rs_size_"), "sizes")
-    held = {r["o"]: (r["s"], r["n"]) for r in meta.groupBy(F.col("rs_old_").alias("o")).agg(F.sum("rs_size_").alias("s"), F.count("*").alias("n")).collect()}  # a row for each old shard
-    supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
-    heavy = materialize(meta.groupBy("rs_old_", "rs_h_").agg(F.count("*").alias("n"), F.sum("rs_size_").alias("s")).where((F.col("n") > 1) & (F.col("s") > sum(supply) >> HEAVY_BITS)).select("rs_old_", "rs_h_"), "heavy")
-    copies = None
-    if not heavy.isEmpty():
-        few = F.broadcast(heavy)  # at most 2^HEAVY_BITS rows, by their bytes
-        # written, so that each row keeps its salt
-        copies = materialize(rows.join(few, ["rs_old_", "rs_h_"], "left_semi").withColumn("rs_h_", F.xxhash64("rs_h_", F.monotonically_increasing_id())), "copies")
-        rows = rows.join(few, ["rs_old_", "rs_h_"], "left_anti").select(*[F.col(f"`{c}`") for c in copies.columns]).unionAll(copies)
-        light, meta = meta, materialize(meta.join(few, ["rs_old_", "rs_h_"], "left_anti").unionAll(copies.select("rs_old_", "rs_h_", "rs_size_")), "sizes")
-        discard(light)
+    n = docs.count()
+    rows = max(1, min(BLOCK_ROWS, n // (8 * shards)), -(-n // MAX_BLOCKS))
+    sized = docs.withColumn(plain_name(docs, "block_bytes"), text_size(F.col(f"`{text_col}`")))
+    sized.coalesce(MAX_BLOCKS).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(f"{path}/files/v0")
+    blocks = _blocks(spark, path, "v0", sized.schema)
+    _commit(spark, path, 0, [(f, k * shards // len(blocks), n_, s) for k, (f, _, n_, s) in enumerate(blocks)])
+
+
+def reshard_files(spark: SparkSession, path: str, shards: int = 16, capacities: list[int] | None = None) -> Moves:
+    """Gives the corpus under path new shards (of even capacities, unless these are given) and rewrites the block
+    files that the flow affects; all others keep their path and content. Old shard i is new shard i where both exist."""
+    version = _versions(spark, path)[-1]
+    held: dict[int, list] = {}
+    for r in sorted(manifest(spark, path).collect(), key=lambda r: (r["shard"], r["base"])):  # bounded: a row per block file
+        held.setdefault(r["shard"], []).append(r)
+    n_old = max(held, default=-1) + 1
+    supply = [sum(r["bytes"] for r in held.get(i, [])) for i in range(n_old)]
     capacity = capacities or even_capacities(sum(supply), shards)
     flow = min_cost_flow(supply, capacity, lambda i, j: int(i != j))
-    count = sum(n for _, n in held.values())
-    bits = min(BLOCK_BITS, max(0, (count // (BLOCK_ROWS * old_shards)).bit_length()))
-    blk = F.shiftrightunsigned("rs_h_", 64 - bits).cast("int") if bits else F.lit(0)
-    sums = meta.withColumn("blk", blk).groupBy("rs_old_", "blk").agg(F.sum("rs_size_").alias("bytes"))
-    end = F.sum("bytes").over(W.partitionBy("rs_old_").orderBy("blk"))
-    blocks = materialize(sums.withColumn("end", end).withColumn("begin", F.col("end") - F.col("bytes")), "blocks")
-    cuts = []
-    for i in range(old_shards):
-        at = 0
+    kept, goes, torn = [], {}, []
+    for i, blocks in held.items():
+        cuts, at = [], 0
         for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
-            cuts.append((i, j, at, at + flow[(i, j)]))
+            cuts.append((at, at + flow[(i, j)], j))
             at += flow[(i, j)]
-    cut = F.broadcast(spark.createDataFrame(cuts or [(-1, 0, 0, 0)], "o int, to int, lo long, hi long"))  # at most old_shards + shards - 1 rows, as a basic solution has
-    part = blocks.join(cut, F.expr("rs_old_ = o and begin < hi and end > lo"))
-    split = materialize(part.groupBy("rs_old_", "blk").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "to", (F.least("hi", "end") - F.greatest("lo", "begin")).alias("room")))).alias("parts")), "split")
-    whole = split.where(F.size("parts") == 1).select("rs_old_", "blk", F.col("parts")[0]["to"].alias("w_to"))
-    torn = split.where(F.size("parts") > 1)
-
-    def deal(pdf):
-        parts = [[-p["room"], k, p["to"]] for k, p in enumerate(pdf["parts"].iloc[0])]
-        heapq.heapify(parts)
-        pdf = pdf.sort_values(["rs_size_", "rs_h_"], ascending=[False, True]).reset_index(drop=True)
-        to = []
-        for s in pdf["rs_size_"]:
-            to.append(parts[0][2])
-            heapq.heapreplace(parts, [parts[0][0] + int(s), *parts[0][1:]])
-        pdf["t_to"] = to
-        return pdf[["rs_old_", "rs_h_", "t_to"]]
-
-    units = meta.withColumn("blk", blk).join(F.broadcast(torn.select("rs_old_", "blk")), ["rs_old_", "blk"], "left_semi").groupBy("rs_old_", "blk", "rs_h_").agg(F.sum("rs_size_").alias("rs_size_"))
-    dealt = materialize(units.join(F.broadcast(torn), ["rs_old_", "blk"]).groupBy("rs_old_", "blk").applyInPandas(deal, "rs_old_ int, rs_h_ long, t_to int"), "dealt")
-    shard, slot = plain_name(docs, "shard"), plain_name(docs, "slot")
-
-    def placed(df):
-        # both sides have a proven bound: old_shards * 2^BLOCK_BITS blocks, and one torn block per transfer
-        out = df.withColumn("blk", blk).join(F.broadcast(whole), ["rs_old_", "blk"], "left").join(F.broadcast(dealt), ["rs_old_", "rs_h_"], "left")
-        return out.withColumn("rs_to_", F.coalesce("w_to", "t_to"))
-
-    counts = placed(meta).groupBy("rs_to_", "rs_old_", "blk").count()
-    base = materialize(counts.withColumn("base", F.coalesce(F.sum("count").over(W.partitionBy("rs_to_").orderBy("rs_old_", "blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count"), "base")
-    boxed = rows.select("rs_old_", "rs_h_", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
-    laid = placed(boxed).select("rs_to_", "rs_old_", "blk", "rs_h_", "row_").repartitionByRange("rs_to_", "rs_old_", "blk")
-    rn = F.row_number().over(W.partitionBy("rs_to_", "rs_old_", "blk").orderBy("rs_h_")) - 1
-    final = laid.withColumn("rn", rn).join(F.broadcast(base), ["rs_to_", "rs_old_", "blk"]).select("row_.*", (F.col("rn") + F.col("base")).cast("long").alias(slot), F.col("rs_to_").alias(shard))
-    schema = final.schema
-    final.write.mode("overwrite").partitionBy(shard).parquet(path)
-    for t in (meta, heavy, copies, blocks, split, dealt, base):
-        discard(t)
-    return spark.read.schema(schema).parquet(path)
+        at = 0
+        for r in blocks:
+            parts = [(min(hi, at + r["bytes"]) - max(lo, at), j) for lo, hi, j in cuts if lo < at + r["bytes"] and hi > at]
+            at += r["bytes"]
+            if len(parts) > 1:
+                torn.append((r["file"], i, parts))
+            elif parts[0][1] == i:
+                kept.append((r["file"], i, r["rows"], r["bytes"]))
+            else:
+                goes.setdefault(parts[0][1], []).append((r["file"], r["bytes"]))
+    where, schema = {}, spark.read.option("recursiveFileLookup", True).parquet(f"{path}/files").schema
+    affected = {f for f, *_ in torn} | {f for fs in goes.values() for f, _ in fs}
+    if affected:
+        df, name, _ = _files(spark, path, None, schema)
+        meta = df.metadataColumn("_metadata")
+        where = {r["f"]: r["p"] for r in df.select(name.alias("f"), meta["file_path"].alias("p")).distinct().collect() if r["f"] in affected}  # as bounded
+    new, moved, gone = [], sum(b for fs in goes.values() for _, b in fs), None
+    if affected:
+        to = plain_name(spark.createDataFrame([], schema), "new_shard")
+        runs = [_files(spark, path, [where[f] for f, _ in fs], schema)[0].withColumn(to, F.lit(j)) for j, fs in sorted(goes.items())]
+        if torn:
+            rooms = {f: parts for f, _, parts in torn}
+
+            def deal(pdf):
+                heap = [[-room, k, j] for k, (room, j) in enumerate(rooms[pdf["f"].iloc[0]])]
+                heapq.heapify(heap)
+                pdf = pdf.sort_values(["s", "i"], ascending=[False, True])
+                out = []
+                for s in pdf["s"]:
+                    out.append(heap[0][2])
+                    heapq.heapreplace(heap, [heap[0][0] + int(s), *heap[0][1:]])
+                pdf["t"] = out
+                return pdf
+
+            df, name, place = _files(spark, path, [where[f] for f, *_ in torn], schema)
+            sizes = df.select(name.alias("f"), place.alias("i"), F.col(f"`{df.columns[-1]}`").alias("s"))
+            gone = materialize(sizes.groupBy("f").applyInPandas(deal, "f string, i long, s long, t int"), "dealt")  # a group is one block
+            was = spark.createDataFrame([(f, i) for f, i, _ in torn], "f string, o int")
+            moved += gone.join(F.broadcast(was), "f").where("t <> o").agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
+            boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), name.alias("f"), place.alias("i"))
+            runs.append(join_checked(boxed, gone.drop("s"), ["f", "i"], "inner", 128).select("row.*", F.col("t").alias(to)))
+        rows = max(BLOCK_ROWS, -(-sum(r["rows"] for b in held.values() for r in b) // MAX_BLOCKS))
+        out = reduce(DataFrame.unionAll, runs).coalesce(MAX_BLOCKS)  # a task of the whole files holds one new shard
+        out.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(to).parquet(f"{path}/files/v{version + 1}")
+        for f, p, n, size in _blocks(spark, path, f"v{version + 1}", schema):
+            new.append((f, int(p.split("/")[-2].split("=")[1]), n, size))
+        discard(gone)
+    _commit(spark, path, version + 1, [*sorted(kept, key=lambda b: b[1]), *new])
+    for f in sorted(affected):
+        delete_path(spark, where[f])
+    return Moves(sum(v for (i, j), v in flow.items() if i != j), moved, len(kept), len(affected))
+
+
+def read_shards(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The corpus under path: the columns that were laid out, then slot (from 0 in each shard) and shard; these two are
+    named otherwise where the corpus has such columns."""
+    df, name, place = _files(spark, path, None, schema)
+    cols = df.columns[:-1]
+    shard, slot = plain_name(df, "shard"), plain_name(df, "slot")
+    boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), name.alias("file"), place.alias("place"))
+    j = join_checked(boxed, manifest(spark, path).select("file", F.col("shard").alias("to"), "base"), "file", "inner", 128)
+    return j.select("row.*", (F.col("base") + F.col("place")).alias(slot), F.col("to").alias(shard))
+
+
+def reshard(docs: DataFrame, path: str, shards: int = 16, old_shards: int = 12, text_col: str = "text", capacities: list[int] | None = None) -> DataFrame:
+    """docs laid out under path in old_shards shards, then resharded; returns them as read_shards() does.
+
+    Defined cases: a null text has size 1; null and repeated ids and repeated rows are documents of their own, placed
+    one by one; ties in size go by place; an empty table gives no rows; columns of docs come back unchanged.
+    """
+    spark = docs.sparkSession
+    lay_out(docs, path, old_shards, text_col)
+    reshard_files(spark, path, shards, capacities)
+    sized = docs.withColumn(plain_name(docs, "block_bytes"), F.lit(0).cast("long"))
+    return read_shards(spark, path, sized.schema)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

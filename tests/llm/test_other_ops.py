@@ -131,38 +131,65 @@ def test_min_cost_flow_moves_the_fewest():
         sharding.min_cost_flow([5], [4], lambda i, j: 0)
 
 
-def test_reshard(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sharding, "BLOCK_ROWS", 8)
+def shard_sizes(rows, text="text", shard="shard", slot="slot"):
+    sizes, slots = Counter(), {}
+    for r in rows:
+        sizes[r[shard]] += len((r[text] or "").encode()) + 1
+        slots.setdefault(r[shard], []).append(r[slot])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return sizes
+
+
+def test_reshard(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(i, "é" * int(rng.integers(0, 200)), "copy") for i in range(700)] + [(None, None, "n"), (5, "dup", None), (5, "dup", None), (6, "", "e"), (7, "z" * 3000, "big")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumn("slot", F.lit("mine"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumns({"slot": F.lit("mine"), "_metadata": F.lit(1), "block_bytes": F.lit(2), "file": F.lit("f")})
     out = sharding.reshard(docs, f"file://{tmp_path}/s", shards=5, old_shards=3)
     got = out.collect()
-    assert out.columns == ["doc_id", "text", "shard", "slot", "slot_", "shard_"]
+    assert out.columns == [*docs.columns, "slot_", "shard_"]
     assert sorted(str(r[:3]) for r in map(tuple, got)) == sorted(str(r) for r in rows)
-    sizes, slots = Counter(), {}
-    for r in got:
-        sizes[r["shard_"]] += len((r["text"] or "").encode()) + 1
-        slots.setdefault(r["shard_"], []).append(r["slot_"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(sizes) == 5
-    assert max(sizes.values()) - min(sizes.values()) <= 150
+    sizes = shard_sizes(got, shard="shard_", slot="slot_")
+    assert len(sizes) == 5 and max(sizes.values()) - min(sizes.values()) <= 400
     assert sharding.reshard(docs.where("false"), f"file://{tmp_path}/e").count() == 0
 
 
-def test_reshard_spreads_repeated_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sharding, "BLOCK_ROWS", 8)
-    rows = [(i, "y" * (i * 37 % 100)) for i in range(600)] * 2 + [(None, "z" * 80)] * 500  # pairs, and two fifths of all bytes in one row's copies
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    for bits in (16, 8):  # pairs spread too, or placed as one
-        monkeypatch.setattr(sharding, "HEAVY_BITS", bits)
-        got = sharding.reshard(docs, f"file://{tmp_path}/s{bits}", shards=5, old_shards=3).collect()
+def test_reshard_spreads_repeated_rows(spark, tmp_path):
+    cases = [[(i, "y" * (i * 37 % 100)) for i in range(600)] * 2 + [(None, "z" * 80)] * 500, [(i, "x" * 99) for i in range(500)] + [(7, "y" * 99)] * 2000]
+    for n, rows in enumerate(cases):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        got = sharding.reshard(docs, f"file://{tmp_path}/s{n}", shards=5 + 11 * n, old_shards=3 + 9 * n).collect()
         assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
-        sizes, slots = Counter(), {}
-        for r in got:
-            sizes[r["shard"]] += len(r["text"]) + 1
-            slots.setdefault(r["shard"], []).append(r["slot"])
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(sizes) == 5
-        assert max(sizes.values()) - min(sizes.values()) <= 400
+        sizes = shard_sizes(got)
+        assert len(sizes) == 5 + 11 * n and max(sizes.values()) - min(sizes.values()) <= 400
+
+
+def test_reshard_moves_the_fewest_bytes_and_leaves_other_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w" * int(rng.integers(0, 300))) for i in range(3000)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(40), f"file://{tmp_path}/c"
+    sharding.lay_out(docs, path, 4)
+
+    def files():
+        return {r["file"]: (r["shard"], (tmp_path / "c/files" / r["file"]).stat().st_mtime_ns, hashlib.sha1((tmp_path / "c/files" / r["file"]).read_bytes()).digest()) for r in sharding.manifest(spark, path).collect()}
+
+    was = {r["doc_id"]: r["shard"] for r in sharding.read_shards(spark, path).collect()}
+    for shards in (6, 3, 3):  # grown, shrunk, and as it is
+        before, held = files(), Counter()
+        for r in sharding.manifest(spark, path).collect():
+            held[r["shard"]] += r["bytes"]
+        did = sharding.reshard_files(spark, path, shards)
+        after, got = files(), sharding.read_shards(spark, path).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+        moved = sum(len(r["text"]) + 1 for r in got if r["shard"] != was[r["doc_id"]])
+        total = sum(held.values())
+        assert did.cost == total - sum(min(held[j], c) for j, c in enumerate(sharding.even_capacities(total, shards)))
+        assert did.moved == moved and abs(moved - did.cost) <= 300 * 9
+        same = before.keys() & after.keys()
+        assert len(same) == did.kept and len(before) - len(same) == did.rewritten and all(before[f] == after[f] for f in same)
+        sizes = shard_sizes(got)
+        assert len(sizes) == shards and max(sizes.values()) - min(sizes.values()) <= 1200
+        was = {r["doc_id"]: r["shard"] for r in got}
+    assert did.rewritten <= 3 and did.cost <= 1200
 
 
 def test_chat_trees_and_escapes(spark):
