@@ -192,12 +192,8 @@ def test_keep_one_judges_rows_not_ids(spark):
     assert simhash.keep_one(maps).count() == len(want)
 
 
-def test_mixing(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, "w " * int(rng.integers(1, 60)), None if i % 9 == 0 else f"s{i % 7 % 5}") for i in range(900)] + [(1000, None, "s0"), (1001, "", "tiny"), (1002, " ", None), (5, "w " * 10, "s1"), (5, "w " * 10, "s1")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"s": F.lit(0), "cut": F.lit(0), "target": F.lit(0), "extra": F.lit(1)})
-    plan = {r["source"]: r for r in mixing.plan_mix(docs).collect()}
-    size, order = Counter(), sorted({r[2] for r in rows if r[2] is not None}) + [None]
+def want_targets(rows):
+    size, order = Counter(), sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
     for _, t, s in rows:
         size[s] += len((t or "").split())
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
@@ -210,17 +206,94 @@ def test_mixing(spark):
             break
         want |= {s: 2 * size[s] for s in full}
         left, free = left - sum(2 * size[s] for s in full), free - full
-    assert {s: plan[s]["target"] for s in order} == pytest.approx(want)
-    taken = Counter()
-    for r in mixing.copies(docs, mixing.plan_mix(docs)).collect():
-        assert 0 <= r["mix_copies_"] <= 2
+    return want
+
+
+def test_mixing(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "w " * int(rng.integers(1, 60)), None if i % 9 == 0 else f"s{i % 7 % 5}") for i in range(900)] + [(1000, None, "s0"), (1001, "", "tiny"), (1002, " ", None), (5, "w " * 10, "s1"), (5, "w " * 10, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"s": F.lit(0), "cut": F.lit(0), "target": F.lit(0), "extra": F.lit(1), "key": F.lit("k"), "h": F.lit(2)})
+    want, taken, by_weight = want_targets(rows), Counter(), defaultdict(lambda: defaultdict(list))
+    got = mixing.copies(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        plan = r["mix_plan_"]
+        assert plan["target"] == pytest.approx(want[r["source"]]) and plan["source"] == r["source"] and 0 <= r["mix_copies_"] <= 2
+        assert r["mix_w_"] == 1 + math.floor(math.log2(1 + r["mix_size_"]))
         taken[r["source"]] += r["mix_size_"] * r["mix_copies_"]
-    assert all(abs(taken[s] - want[s]) <= 12 for s in order)
+        by_weight[r["source"]][r["mix_w_"]].append((r["mix_size_"], plan["factor"]))
+    assert all(abs(taken[s] - want[s]) <= 12 for s in want)
+    for s, ws in by_weight.items():  # expected words are the target
+        expected = sum(n * (min(2.0, f * w) if f is not None else 2.0) for w, rows_ in ws.items() for n, f in rows_)
+        assert expected == pytest.approx(want[s])
     one, two = (sorted(r["doc_id"] or -1 for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(5)))
     assert one == two and mixing.mix(docs).columns == docs.columns
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_is_pareto_sampling_by_brute_force(spark):
+    """Certain copies, ranks by odds over odds and the cut, from the query's own expectations."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(2 ** rng.uniform(0, 9)), f"s{i % 3}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text", "source", F.lit("mix")).alias("h")).collect()}
+    per = defaultdict(list)
+    for r in mixing.copies(docs).collect():
+        per[r["source"]].append(r)
+    for rs in per.values():
+        ranked, missing = [], rs[0]["mix_plan_"]["target"]
+        for r in rs:
+            e = min(2.0, r["mix_plan_"]["factor"] * r["mix_w_"]) if r["mix_plan_"]["factor"] is not None else 2.0
+            sure, u = math.floor(e + 1e-9), ((hashes[r["doc_id"]] % (1 << 64) >> 11) + 0.5) / (1 << 53)
+            p = max(e - sure, 0.0)
+            missing -= sure * r["mix_size_"]
+            assert r["mix_copies_"] in ((sure, sure + 1) if sure < 2 else (2,))
+            if sure < 2:
+                ranked.append((u / (1 - u) / (p / (1 - p)) if p else math.inf, r["mix_size_"], r["mix_copies_"] - sure))
+        ranked.sort()
+        cum, n = 0, 0
+        while n < len(ranked) and cum + ranked[n][1] <= missing + 1e-6:
+            cum, n = cum + ranked[n][1], n + 1
+        assert all(x[2] for x in ranked[:n])
+        after = [x for x in ranked[n:] if x[2]]
+        assert len(after) <= 1
+        best = min((abs(x[1] - (missing - cum)) for x in ranked[n:] if x[1] < 2 * (missing - cum)), default=None)
+        assert (best is None) == (not after) and (not after or abs(after[0][1] - (missing - cum)) == best)
+
+
+def test_mixing_inclusion_frequencies(spark):
+    """Over many draws a document is taken as often as its weight says."""
+    draws, n = 300, 40
+    rows = [(d * n + i, "w w w w", f"s{d:03d}", float(1 + i % 4)) for d in range(draws) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m double")
+    got = mixing.copies(docs, weight_col="m", weights=(1.0,), share=0.4).collect()
+    taken, total = Counter(), Counter()
+    for r in got:
+        assert r["mix_copies_"] <= 1
+        taken[r["m"]] += r["mix_copies_"]
+        total[r["source"]] += r["mix_copies_"]
+    assert set(total.values()) == {16}  # a fixed size in each draw
+    for m in (1.0, 2.0, 3.0, 4.0):
+        assert taken[m] / (draws * n / 4) == pytest.approx(0.4 * m / 2.5, abs=0.04)
+
+
+def test_mixing_numbers_heavy_repeats(spark):
+    rows = [(i, "w " * 10, "s") for i in range(100)] + [(7000, "v " * 10, "s")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.copies(docs).collect()
+    taken = sum(r["mix_size_"] * r["mix_copies_"] for r in got)
+    assert len(got) == 500 and abs(taken - 7500) <= 5 and {r["mix_copies_"] for r in got if r["doc_id"] == 7000} == {1, 2}
+    one, two = (sorted(r["doc_id"] for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(3)))
+    assert one == two
+
+
+def test_mixing_weights_null_zero_and_held(spark):
+    rows = [(i, "w w", "a", w) for i, w in enumerate([None, float("nan"), -3.0, 0.0, 1.0, 1e9, 1e9, 2.0])] + [(9, None, None, 1.0), (10, "", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m double")
+    got = {r["doc_id"]: r["mix_copies_"] for r in mixing.copies(docs, weight_col="m").collect()}
+    assert got[2] == got[3] == 0 and got[5] == got[6] == 2 and sum(2 * got[i] for i in range(8)) == 24
+
+
 def test_language_model_equals_brute_force(spark):
     docs = [(i, " ".join(f"v{(i * 7 + j * j) % 23}" for j in range(40 + i % 5))) for i in range(60)] + [(100, None), (101, ""), (102, "V1 v1 unseen\x0bword é"), (103, LONG), (None, "v1 v2")]
     df = table(spark, docs)
