@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree searched best bin first.
 
-Fit: spherical k-means, applied again and again to a sample of at most SAMPLE vectors (the only bounded
-step; the tree is therefore of bounded size too). Index: every row descends to its leaf. Search: a
-priority queue over tree nodes, keyed by the cosine to their centres, yields a query's leaves best first;
+Fit: spherical k-means, applied again and again. Leaves are in proportion to rows (LEAF_ROWS members each, at least
+MIN_LEAVES of them). The top of the tree is fitted on a sample of at most SAMPLE vectors; a table that needs more than
+TOP_LEAVES leaves has each of these fitted further, in a task of its own, on at most about SAMPLE of its members. The whole tree is
+shipped to tasks, so its centres are held to TREE_BYTES; beyond that leaves grow instead. Index: every row descends to its leaf.
+Search: a priority queue over tree nodes, keyed by the cosine to their centres, yields a query's leaves best first;
 the number of leaves visited is widened until the recall of calibration queries, measured against
 brute force over all rows, reaches `target`. Queries then meet the members of their leaves in groups
-(leaf, member block, query block) of bounded size, and the best per group are merged.
+(leaf, member block, query block) of bounded size, and the best per group are merged. Scores are cosines in double
+precision; ties, however many, go to the smaller id.
 
 Hot vectors: rows with equal vectors are one class, of which the k + 1 smallest ids are all that any
 answer can hold; so the class of a very common vector is one member and one query.
@@ -26,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_checked, materialize
+from .common import BROADCAST_BYTES, discard, materialize
 
 SAMPLE = 20_000
-BRANCH = 8
-LEAVES = 256
+BRANCH = 16
+LEAF_ROWS = 2048
+MIN_LEAVES = TOP_LEAVES = 256
+TREE_BYTES = BROADCAST_BYTES
 BLOCK = 4096
 CALIBRATION = 200
 
@@ -38,7 +43,7 @@ CALIBRATION = 200
 class Tree:
     """centers[i] is node i's centre; kids[i] its children; leaf[i] its leaf number or -1."""
 
-    def __init__(self, sample: np.ndarray, branch: int = BRANCH, leaves: int = LEAVES, seed: int = 7):
+    def __init__(self, sample: np.ndarray, branch: int = BRANCH, leaves: int = MIN_LEAVES, seed: int = 7):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         rng = np.random.default_rng(seed)
         self.kids: list[list[int]] = [[]]
@@ -49,7 +54,7 @@ class Tree:
             _, node, rows = heapq.heappop(queue)
             if len(rows) < 2 * branch:
                 continue
-            part, mid = _kmeans(unit[rows], branch, rng)
+            part, mid = _kmeans(unit[rows], min(branch, leaves - n_leaves + 1), rng)
             if len(mid) < 2:
                 continue
             n_leaves += len(mid) - 1
@@ -59,11 +64,28 @@ class Tree:
                 centers.append(mid[c])
                 heapq.heappush(queue, (-int((part == c).sum()), len(centers) - 1, rows[part == c]))
         self.centers = np.array(centers, np.float32)
-        self.leaf = np.full(len(centers), -1)
+        self._number()
+
+    def _number(self) -> None:
+        self.leaf = np.full(len(self.kids), -1)
         ends = [i for i, k in enumerate(self.kids) if not k]
         self.leaf[ends] = np.arange(len(ends))
         self.n_leaves = len(ends)
 
+    def graft(self, trees: dict[int, tuple[np.ndarray, list[list[int]]]]) -> None:
+        """Puts the nodes below the root of each tree (centers, kids) in the place of a leaf, given by number."""
+        parts, at = [self.centers], len(self.kids)
+        for node in np.flatnonzero(self.leaf >= 0):
+            centers, kids = trees.get(int(self.leaf[node]), (None, [[]]))
+            if kids[0]:
+                shift = at - 1  # the root of the tree is the leaf itself
+                self.kids[node] = [k + shift for k in kids[0]]
+                self.kids += [[k + shift for k in x] for x in kids[1:]]
+                parts.append(centers[1:])
+                at += len(kids) - 1
+        self.centers = np.concatenate(parts)
+        self._number()
+
     def assign(self, unit: np.ndarray) -> np.ndarray:
         at = np.zeros(len(unit), int)
         open_ = np.arange(len(unit)) if self.kids[0] else np.arange(0)
@@ -116,14 +138,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _top(q: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the k best rows of m: (positions, scores), cosine in double precision summed in
-    one order for all rows, ties to the smaller id."""
+    one order for all rows, ties to the smaller id. All rows within the rounding bound of the k-th rough score are
+    scored, so none of equal score is lost."""
     qn, mn = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
-    take = min(len(m), k + 8)
+    take = min(len(m), k)
     rough = (q @ m.T) / mn[None, :]
-    pos = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(m) else np.tile(np.arange(len(m)), (len(q), 1))
-    score = np.stack([(m[p] * q[i]).sum(axis=1) / (qn[i] * mn[p]) for i, p in enumerate(pos)])
-    order = np.stack([np.lexsort((ids[p], -s)) for p, s in zip(pos, score)])[:, :k]
-    return np.take_along_axis(pos, order, 1), np.take_along_axis(score, order, 1)
+    least = -np.partition(-rough, take - 1, axis=1)[:, take - 1] - qn * 8 * (m.shape[1] + 8) * np.finfo(float).eps
+    pos, score = np.empty((len(q), take), int), np.empty((len(q), take))
+    for i in range(len(q)):
+        p = np.flatnonzero(rough[i] >= least[i])
+        x = (m[p] * q[i]).sum(axis=1) / (qn[i] * mn[p])
+        order = np.lexsort((ids[p], -x))[:take]
+        pos[i], score[i] = p[order], x[order]
+    return pos, score
 
 
 def classes(rows: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, str]:
@@ -145,9 +172,50 @@ def classes(rows: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFra
     return kept.select("id", "v").mapInArrow(pack, "id long, v binary").distinct(), dtype
 
 
-def search(rows: DataFrame, k: int = 5, query: str = "pmod(id, 100) = 0", id_col: str = "vec_id", vec_col: str = "embedding", target: float = 0.96) -> DataFrame:
+def fit(cls: DataFrame, n: int, dtype: str) -> Tree:
+    """The tree over n classes (cid, v): its top fitted here on a sample, its branches in tasks of their own."""
+    vector = lambda b: np.frombuffer(b, dtype).astype(np.float64)
+    part = F.pmod(F.xxhash64("cid", F.lit("sample")), F.lit(1 << 40))
+    sample = [vector(r["v"]) for r in cls.where(part < int((1 << 40) * min(1.0, SAMPLE / n))).select("v").limit(2 * SAMPLE).toLocalIterator()] or [vector(cls.first()["v"])]
+    want = min(max(MIN_LEAVES, n // LEAF_ROWS), TREE_BYTES // (5 * len(sample[0])))
+    tree = Tree(np.stack(sample), leaves=min(want, TOP_LEAVES))
+    if want <= TOP_LEAVES:
+        return tree
+
+    def to_leaf(batches):
+        for b in batches:
+            if b.num_rows:
+                leaf = tree.assign(_unit(_matrix(b.column(1), dtype)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf.astype(np.int32))], names=["cid", "v", "leaf"])
+
+    index = materialize(cls.select("cid", "v").mapInArrow(to_leaf, "cid long, v binary, leaf int"), "branches")
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each top leaf
+    share = F.create_map(*[x for leaf, m in sizes.items() for x in (F.lit(leaf), F.lit(int((1 << 40) * min(1.0, SAMPLE / m))))])
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(pdf["leaf"].iloc[0])
+        sub = Tree(np.stack([vector(v) for v in pdf.sort_values("cid")["v"]]), leaves=max(1, want * sizes[leaf] // n))
+        kids = np.concatenate([np.array([len(k), *k], np.int32) for k in sub.kids])
+        return pd.DataFrame({"leaf": [leaf], "centers": [sub.centers.tobytes()], "kids": [kids.tobytes()]})
+
+    trees = {}
+    chosen = index.where(part < F.element_at(share, F.col("leaf")))
+    for r in chosen.groupBy("leaf").applyInPandas(grow, "leaf int, centers binary, kids binary").toLocalIterator():  # TREE_BYTES in all
+        flat, kids, i = np.frombuffer(r["kids"], np.int32).tolist(), [], 0
+        while i < len(flat):
+            kids.append(flat[i + 1 : i + 1 + flat[i]])
+            i += 1 + flat[i]
+        trees[r["leaf"]] = (np.frombuffer(r["centers"], np.float32).reshape(len(kids), -1), kids)
+    tree.graft(trees)
+    discard(index)
+    return tree
+
+
+def search(rows: DataFrame, k: int = 5, query: str = "pmod(id, 100) = 0", id_col: str = "vec_id", vec_col: str = "embedding", target: float = 0.95, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest other rows found. `query` is a SQL
-    condition on id. Fewer than k candidates give fewer rows; an empty table gives none."""
+    condition on id. `report` is filled with leaves, visits and the share of rows that a query is compared with. Defined
+    cases: fewer than k candidates give fewer rows; an empty table gives none; ties go to the smaller vec_id; what takes no part
+    is said above; other columns are not looked at."""
     spark = rows.sparkSession
     packed, dtype = classes(rows, id_col, vec_col, k)
     packed = materialize(packed.withColumn("h", F.xxhash64("v")), "vectors")
@@ -158,9 +226,7 @@ def search(rows: DataFrame, k: int = 5, query: str = "pmod(id, 100) = 0", id_col
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    part = F.pmod(F.xxhash64("cid", F.lit("sample")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / n))
-    tree = Tree(np.stack([np.frombuffer(r["v"], dtype).astype(np.float64) for r in cls.where(part).select("v").limit(2 * SAMPLE).toLocalIterator()] or
-                         [np.frombuffer(cls.first()["v"], dtype).astype(np.float64)]))
+    tree = fit(cls, n, dtype)
 
     def to_leaf(batches):
         for b in batches:
@@ -190,6 +256,9 @@ def search(rows: DataFrame, k: int = 5, query: str = "pmod(id, 100) = 0", id_col
     to = materialize(asked.select("cid", "v").mapInArrow(bins, "leaf int, cid long, v binary"), "visits")
     # both counts have a row per leaf, and the tree's leaves are bounded
     sizes = F.broadcast(index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).join(to.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), "leaf"))
+    if report is not None:
+        met = index.groupBy("leaf").agg(F.count("*").alias("m")).join(to.groupBy("leaf").agg(F.count("*").alias("q")), "leaf").agg(F.sum(F.col("m") * F.col("q"))).first()[0]
+        report.update(leaves=tree.n_leaves, visits=visits, share=(met or 0) / max(1, n * asked.count()))
     dealt = lambda df, own, other: df.join(sizes, "leaf").select(
         "leaf", F.pmod(F.xxhash64("cid"), own).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "cid", "v")
     left = dealt(index, F.col("nm"), "nq").select("leaf", F.col("own").alias("m"), F.col("other").alias("q"), "cid", "v")

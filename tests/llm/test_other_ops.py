@@ -45,6 +45,35 @@ def test_ann_small_and_empty(spark):
     assert ann.search(vectors(spark, [(0, [1.0, 0.0])])).count() == 0
 
 
+def test_ann_ties_go_to_smaller_ids(spark):
+    v = np.random.default_rng(1).normal(size=8).astype(np.float32)
+    rows = [(i, [float(x) for x in v * np.float32(2.0 ** (i - 20))]) for i in range(40)]
+    got = ann.search(vectors(spark, rows), k=5, query="id in (0, 3)").collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, i, i) for i in range(1, 6)] + [(3, 1, 0), (3, 2, 1), (3, 3, 2), (3, 4, 4), (3, 5, 5)]
+    assert len({r["score"] for r in got}) == 1
+
+
+def test_ann_leaves_grow_with_the_table(spark, monkeypatch):
+    """Branches are fitted in tasks; recall holds and the share of rows compared falls as the table grows."""
+    for name, x in (("SAMPLE", 400), ("LEAF_ROWS", 16), ("MIN_LEAVES", 8), ("TOP_LEAVES", 8), ("BLOCK", 64)):
+        monkeypatch.setattr(ann, name, x)
+    rng = np.random.default_rng(7)
+    seen = []
+    for n in (600, 3000):
+        m = (rng.normal(size=(60, 12))[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, 12))).astype(np.float32)
+        did: dict = {}
+        got = ann.search(vectors(spark, [(i, [float(x) for x in r]) for i, r in enumerate(m)]), k=5, query="pmod(id, 20) = 0", report=did).collect()
+        unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+        hits = 0
+        for q in range(0, n, 20):
+            s = unit @ unit[q]
+            s[q] = -9
+            hits += len(set(np.argsort(-s)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+        assert hits >= 0.9 * 5 * len(range(0, n, 20))
+        seen.append(did)
+    assert seen[0]["leaves"] >= 20 and seen[1]["leaves"] > 3 * seen[0]["leaves"] and seen[1]["share"] < 0.7 * seen[0]["share"], seen
+
+
 def brute_warc(rows):
     first = {}
     for i, h in rows:
