@@ -294,53 +294,90 @@ def test_mixing_weights_null_zero_and_held(spark):
     assert got[2] == got[3] == 0 and got[5] == got[6] == 2 and sum(2 * got[i] for i in range(8)) == 24
 
 
-def test_language_model_equals_brute_force(spark):
+def brute_model(seqs, order, cutoff):
+    """p(u, v, w), the vocabulary's counts and the model's sums, from dictionaries."""
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for x in seqs:
+        y = [b" start", b" start", *x]
+        uni.update(x)
+        bi.update(zip(y[1:], x))
+        tri.update(zip(y, y[1:], x))
+    left = Counter((v, w) for _, v, w in tri)
+    value = bi if order == 2 else {k: bi[k] if k[0] == b" start" else n for k, n in left.items()}
+    cont = Counter(w for _, w in bi)
+    of = lambda c: lm.discounts(*[sum(x == i for x in c.values()) for i in (1, 2, 3, 4)])
+    d3, d2, d1 = of(tri), of(value), of(cont)
+    off = lambda d, x: d[min(x, 3) - 1] if x else 0.0
+    spare = sum(off(d1, x) for x in cont.values()) / len(bi)
+    n2, g2, took, n3 = Counter(), Counter(), Counter(), Counter()
+    for (v, _), x in value.items():
+        n2[v] += x
+        g2[v] += off(d2, x)
+    for (u, v, _), x in tri.items():
+        n3[u, v] += x
+        if x >= cutoff:
+            took[u, v] += x - off(d3, x)
+
+    def p(u, v, w):
+        p1 = (cont[w] - off(d1, cont[w])) / len(bi) + spare / (len(uni) + 1)
+        x = value.get((v, w), 0)
+        p2 = (x - off(d2, x) + g2[v] * p1) / n2[v] if n2[v] else p1
+        if order == 2 or not n3[u, v]:
+            return p2
+        x = tri.get((u, v, w), 0)
+        return ((x - off(d3, x) if x >= cutoff else 0) + (n3[u, v] - took[u, v]) * p2) / n3[u, v]
+
+    return p, uni, (d3, d2, d1), len(bi)
+
+
+@pytest.mark.parametrize("order,cutoff,mounted", [(3, 2, None), (3, 1, False), (2, 2, None)])
+def test_language_model_equals_brute_force(spark, tmp_path, order, cutoff, mounted):
     docs = [(i, " ".join(f"v{(i * 7 + j * j) % 23}" for j in range(40 + i % 5))) for i in range(60)] + [(100, None), (101, ""), (102, "V1 v1 unseen\x0bword é"), (103, LONG), (None, "v1 v2")]
+    docs += [(7, docs[7][1])]
     df = table(spark, docs)
     train = df.where(~lm.held_out(F.col("doc_id")))
     tok = lambda t: (t or "").encode().lower().split() + [b" end"]
     seqs = [tok(t) for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    uni, bi = Counter(), Counter()
-    for x in seqs:
-        uni.update(x)
-        bi.update(zip([b" start", *x[:-1]], x))
+    p, uni, d, contexts = brute_model(seqs, order, cutoff)
     n, v = sum(uni.values()), len(uni)
-    model = lm.train(train)
-    assert (model.n, model.v, model.contexts) == (n, v, len(bi))
-    of = Counter(bi.values())
-    cont = Counter(w for _, w in bi)
-    mm = Counter(cont.values())
-    d, e = lm.discounts(*[of[i] for i in (1, 2, 3, 4)]), lm.discounts(*[mm[i] for i in (1, 2, 3, 4)])
-    assert (model.high, model.low) == (d, e)
-    spare = (e[0] * mm[1] + e[1] * mm[2] + e[2] * (v - mm[1] - mm[2])) / len(bi)
-    cu, g = Counter(), defaultdict(float)
-    for (u, _), c in bi.items():
-        cu[u] += c
-        g[u] += d[min(c, 3) - 1]
-    q = lambda w: (cont[w] - e[min(cont[w], 3) - 1] if cont[w] else 0) / len(bi) + spare / (v + 1)
-
-    def p(u, w):
-        c = bi.get((u, w), 0)
-        return (max(c - (d[min(c, 3) - 1] if c else 0), 0) + g[u] * q(w)) / cu[u] if cu[u] else q(w)
-
-    total = sum(p(b"v1", w) for w in uni) + g[b"v1"] / cu[b"v1"] * spare / (v + 1)
-    assert total == pytest.approx(1)
-    got = {r["id"]: r for r in lm.score(df, model).collect()}
-    assert len(got) == len(docs)
+    model = lm.train(train, path=f"file://{tmp_path}/lm", order=order, cutoff=cutoff, mounted=mounted)
+    assert (model.n, model.v, model.texts, model.contexts) == (n, v, len(seqs), contexts) and (model.d2, model.d1) == d[1:] and (order == 2 or model.d3 == d[0])
+    for u, v1 in ((b"v1", b"v2"), (b" start", b" start"), (b" start", b"v7"), (b"zz", b"v3"), (b"v3", b"zz")):
+        assert sum(p(u, v1, w) for w in uni) + p(u, v1, b"never") == pytest.approx(1)
+    got = defaultdict(list)
+    for r in lm.score(df, model).collect():
+        got[r["id"]].append(r)
+    assert sum(map(len, got.values())) == len(docs)
     for i, t in docs:
         x = tok(t)
-        assert got[i]["n_tokens"] == len(x) and got[i]["n_known"] == sum(w in uni for w in x)
-        assert got[i]["score"] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip([b" start", *x[:-1]], x)), abs=1e-6)
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), abs=1e-6)
+        y = [b" start", b" start", *x]
+        for r in got[i]:
+            assert r["n_tokens"] == len(x) and r["n_known"] == sum(w in uni for w in x)
+            assert r["score"] == pytest.approx(sum(math.log10(p(*z)) for z in zip(y, y[1:], x)), abs=1e-6)
+            assert r["base_score"] == pytest.approx(sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), abs=1e-6)
 
 
 def test_language_model_pieces_and_empty(spark, monkeypatch):
-    docs = [(1, LONG), (2, "v1 v2")]
+    docs = [(1, LONG), (2, "v1 v2"), (3, LONG)]
     model = lm.train(table(spark, docs))
     want = {r["id"]: r["score"] for r in lm.score(table(spark, docs), model).collect()}
-    for name in ("RUN", "BATCH"):
-        monkeypatch.setattr(lm, name, 1000)
+    for name, x in (("RUN", 1000), ("BATCH", 1000), ("CACHE", 300), ("BUCKET_BYTES", 1000)):
+        monkeypatch.setattr(lm, name, x)
     model = lm.train(table(spark, docs))
     assert {r["id"]: pytest.approx(r["score"]) for r in lm.score(table(spark, docs), model).collect()} == want
     none = lm.train(table(spark, []))
-    assert none.n == 0 and lm.score(table(spark, docs), none).count() == 2 and lm.score(table(spark, []), none).count() == 0
+    assert none.n == 0 and lm.score(table(spark, docs), none).count() == 3 and lm.score(table(spark, []), none).count() == 0
+
+
+def test_language_model_scores_what_occurs_again_apart(spark):
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 500)) for i in range(400)]
+    docs += [(1000 + i, docs[i][1]) for i in range(20)]
+    got = {r["id"]: r["score"] / r["n_tokens"] for r in lm.score(table(spark, docs), lm.train(table(spark, docs))).collect()}
+    twice, once = [got[i] for i in range(20)], [got[i] for i in range(20, 400)]
+    assert min(twice) > max(once)
+
+
+def test_language_model_needs_a_folder_that_workers_reach(spark):
+    with pytest.raises(Exception):
+        lm.train(table(spark, []), path="nowhere://x/y")
