@@ -58,28 +58,23 @@ def source_targets(base: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats
     return src.select("source", "s", F.least(cap, F.col("weight") * level).alias("target"))
 
 
-def expectations(by_weight: DataFrame, targets: DataFrame, repeats: float = 2.0) -> DataFrame:
+def expectations(by_level: DataFrame, targets: DataFrame, repeats: float = 2.0) -> DataFrame:
     """targets (key, target, ...) with factor: the expected copies of a document are least(repeats, factor * w), and its
-    source's expected words are the target. by_weight: (key, w, size) sums. Null where all documents reach `repeats`."""
-    size, w = F.sum("size"), F.col("w")
-    first = by_weight.groupBy("key").agg(F.sum(F.col("size") * w).alias("sw"))
-    now = materialize(targets.join(first, "key", "left").withColumn("factor", F.col("target") / F.nullif(F.col("sw"), F.lit(0.0))).drop("sw"), "factors")
-    full = 0
-    while True:  # each round the held documents grow in number or it ends
-        held = F.coalesce(F.col("factor") * w >= repeats, F.col("target") > 0) & (w > 0)
-        rows = join_checked(by_weight, now.select("key", "factor", "target"), "key", "inner", 64).withColumn("held", held)
-        sums = rows.groupBy("key").agg(F.count_if("held").alias("n"), F.sum(F.when(F.col("held"), F.col("size") * repeats).otherwise(0.0)).alias("at_most"),
-                                       F.sum(F.when(F.col("held"), 0.0).otherwise(F.col("size") * w)).alias("open"))
-        sums = materialize(sums, "held")
-        n = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if n == full:
-            discard(sums)
-            return now
-        better = F.when(F.col("n") > 0, (F.col("target") - F.col("at_most")) / F.nullif(F.col("open"), F.lit(0.0))).otherwise(F.col("factor"))
-        new = materialize(now.join(sums, "key", "left").withColumn("factor", F.coalesce(better, F.when(F.col("n").isNull(), F.col("factor")))).select(now.columns), "factors")
-        discard(sums)
-        discard(now)
-        now, full = new, n
+    source's expected words are the target. by_level: (key, level, size, sw, top), sums of words and of words times weight and
+    the largest weight of a bounded number of weight levels; a level is held at `repeats` as a whole. The factor is null where
+    all documents of a weight reach `repeats`."""
+    down = W.partitionBy("key").orderBy(F.col("level").desc())
+    held = F.coalesce(F.sum("size").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum("sw").over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    rows = join_checked(by_level, targets.select("key", "target"), "key", "inner", 64)
+    rows = rows.withColumn("factor", (F.col("target") - held * repeats) / F.nullif(open_, F.lit(0.0))).where(F.col("factor") * F.col("top") < repeats)
+    best = rows.groupBy("key").agg(F.max_by("factor", "level").alias("factor"))  # the fewest levels held
+    return materialize(targets.join(best, "key", "left"), "factors")
+
+
+def _level(w: Column, exact: bool) -> Column:
+    """A weight's level: itself where weights are few, else one of 64 levels an octave, from 2^-32 to 2^32."""
+    return w if exact else F.when(w > 0, F.floor(F.log2(F.greatest(F.least(w, F.lit(2.0**32)), F.lit(2.0**-32))) * 64).cast("double")).otherwise(F.lit(-(2.0**20)))
 
 
 def _key(source: Column) -> Column:
@@ -146,12 +141,12 @@ def _edge(by: DataFrame, need: DataFrame, bucket: str) -> DataFrame:
     return materialize(at.select("key", f"e.{bucket}", "e.before", "e.need"), "edge")
 
 
-def plan_mix(base: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: float = 2.0) -> DataFrame:
-    """One row per source of base (source, key, size, w, h): key, source, s, target, factor, cut (rank up to which
+def plan_mix(base: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: float = 2.0, few_weights: bool = False) -> DataFrame:
+    """One row per source of base (source, key, size, w, h; few_weights says that w has a bounded number of values): key, source, s, target, factor, cut (rank up to which
     documents get one more copy), extra (rank of the closing document or null)."""
     targets = source_targets(base, weights, share, repeats).withColumn("key", _key(F.col("source")))
-    by_weight = materialize(base.groupBy("key", "w").agg(F.sum("size").alias("size")), "weights")
-    src = expectations(by_weight, targets, repeats)
+    by_level = base.groupBy("key", _level(F.col("w"), few_weights).alias("level")).agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("w")).alias("sw"), F.max("w").alias("top"))
+    src = expectations(materialize(by_level, "levels"), targets, repeats)
     sure, k, room = _rank(F.col("size"), F.col("w"), F.col("h"), F.col("factor"), F.col("target"), repeats)
     rows = join_checked(base.drop("source"), src.select("key", "factor", "target"), "key", "inner", 64).where("size > 0")
     rows = rows.select("key", "size", "target", sure.alias("sure"), k.alias("k"), room.alias("room")).withColumn("b", F.least(F.lit(BUCKETS - 1), F.floor(F.col("k") * BUCKETS)).cast("int"))
@@ -172,7 +167,7 @@ def plan_mix(base: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: floa
     out = src.join(cuts.drop("gap"), "key", "left").join(extra, "key", "left")
     full = F.when(F.col("target") > 0, 2.0).otherwise(-1.0)
     plan = materialize(out.withColumn("cut", F.coalesce("cut", full)), "mixplan")
-    for t in (by_weight, src, by, coarse, edge, cuts):
+    for t in (src, by, coarse, edge, cuts):
         discard(t)
     return plan
 
@@ -192,7 +187,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     if numbered is not None:
         discard(base)
         base = materialize(_narrow(rows, source_col), "mix")
-    plan = plan_mix(base, weights, share, repeats)
+    plan = plan_mix(base, weights, share, repeats, weight_col is None)
     discard(base)
     # the plan's columns are nested so that they can't clash with columns of docs
     nested = plan.select(F.col("key").alias("mix_key_"), F.struct("source", "s", "target", "factor", "cut", "extra").alias("mix_plan_"))
