@@ -45,7 +45,7 @@ BATCH = 1 << 19  # tokens scored at once
 BUCKET_BYTES = 12 << 20  # bytes of text per bucket
 CACHE = 1 << 20  # words whose hashes, or counts, a task remembers
 HELD = 256 << 20  # bytes of files that a worker holds where they can't be mapped
-EXTRA = 6  # further bits that cut the groups of words and contexts
+EXTRA = 4  # further bits that cut the groups of words and contexts
 START, END = b" start", b" end"  # no word holds a blank
 
 
@@ -80,11 +80,11 @@ class Layout:
 
     @property
     def context_bits(self) -> int:
-        return self.hi + min(self.lo, EXTRA)
+        return self.hi + EXTRA
 
     @property
     def word_bits(self) -> int:
-        return self.lo + min(self.hi, EXTRA)
+        return self.lo + EXTRA
 
     def context_key(self, hv):
         return (hv >> np.uint64(32 - self.hi)) & np.uint64(0xFFFFFFFF)
@@ -94,7 +94,7 @@ class Layout:
 
     def pair_group(self, hv: np.ndarray, hu: np.ndarray) -> np.ndarray:
         """Group of a context u v."""
-        return (_top(hv, self.hi) << np.int64(min(self.lo, EXTRA))) | _top(hu, min(self.lo, EXTRA))
+        return (_top(hv, self.hi) << np.int64(EXTRA)) | _top(hu, EXTRA)
 
     def pair_key(self, hv: np.ndarray, hu: np.ndarray) -> np.ndarray:
         return (self.context_key(hv) << np.uint64(32)) | (hu >> np.uint64(32))
@@ -350,17 +350,15 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
         store.save(f"b{g}", k=pair, **_capped(n, "c"), **_capped(value, "m"), t=(place[kept] << np.uint64(32)) | u[kept], **_capped(c[kept], "n"))
         out = [("n", 0, ",".join(str(x) for x in [*[(c == i).sum() for i in (1, 2, 3, 4)], *[(value == i).sum() for i in (1, 2, 3, 4)]]).encode(), b"", b"")]
         hi, lo = np.int64(g >> layout.lo), np.int64(g & ((1 << layout.lo) - 1))
-        more = min(layout.lo, EXTRA)
-        for part, at in _by_group((hi << np.int64(more)) | _next(v32, more)):
+        for part, at in _by_group((hi << np.int64(EXTRA)) | _next(v32, EXTRA)):
             x, total, n1, n2, n3 = _merge([v32[at]], [value[at]], [value[at] == 1], [value[at] == 2], [value[at] > 2])
             out.append(("u", part, _pack(x, np.uint32), _pack(total, np.uint64), _pack(np.stack([n1, n2, n3]), np.uint64)))
-        extra = min(layout.hi, EXTRA)
-        for part, at in _by_group((lo << np.int64(extra)) | _next(w32, extra)):
+        for part, at in _by_group((lo << np.int64(EXTRA)) | _next(w32, EXTRA)):
             x, m = np.unique(w32[at], return_counts=True)
             out.append(("m", part, _pack(x, np.uint32), _pack(m, np.uint64), b""))
         if len(kept):
             key, x, c = (k[kept] & ~np.uint64(0xFFFFFFFF)) | u[kept], u[kept], c[kept]
-            for part, at in _by_group((hi << np.int64(more)) | _next(x, more)):
+            for part, at in _by_group((hi << np.int64(EXTRA)) | _next(x, EXTRA)):
                 y, total, n1, n2, n3 = _merge([key[at]], [c[at]], [c[at] == 1], [c[at] == 2], [c[at] > 2])
                 out.append(("s", part, y.tobytes(), _pack(total, np.uint64), _pack(np.stack([n1, n2, n3]), np.uint64)))
         return pd.DataFrame(out, columns=["kind", "g", "a", "b", "c"])
