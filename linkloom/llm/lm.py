@@ -59,6 +59,14 @@ class Hashes(dict):
         return h
 
 
+class Places(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     """Words of the A-Z-lowered text (on bytes, lower() and split() touch ASCII only)."""
     return text.lower().split() if text else []
@@ -300,11 +308,9 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
             out = []
             key, u = layout.key(hv, hw), (hu >> np.uint64(32)).astype(np.uint32)
             for g, at in _by_group(layout.bucket(hv, hw)):
-                at = at[np.lexsort((u[at], key[at]))]
-                k, x = key[at], u[at]
-                first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])]))
-                c = np.diff(np.append(first, len(k)))
-                k, x = k[first], x[first]
+                pair, place = np.unique(key[at], return_inverse=True)
+                z, c = np.unique((place.astype(np.uint64) << np.uint64(32)) | u[at], return_counts=True)
+                k, x = pair[z >> np.uint64(32)], z & np.uint64(0xFFFFFFFF)
                 out.append((g, _code(k >> np.uint64(32)), _code(k & np.uint64(0xFFFFFFFF)), _code(x), _pack(c, np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["g", "v", "w", "u", "c"])
 
@@ -532,7 +538,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             n = batch.num_rows
             total, known, base, score_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            ids: dict[bytes, int] = {START: 0}
+            ids = Places({START: 0})
             seq: list[np.ndarray] = []
             doc: list[int] = []
             held = 0
@@ -551,13 +557,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     if len(part) < BATCH:
                         part.append(END)
                     part = last + part
-                    seq.append(np.array([ids.setdefault(w, len(ids)) for w in part]))
+                    seq.append(np.fromiter(map(ids.__getitem__, part), np.int64, len(part)))
                     doc.append(i)
                     held += len(part) - 2
                     last = part[-2:]
                     if held >= BATCH:
                         flush()
-                        ids, seq, doc, held = {START: 0}, [], [], 0
+                        ids, seq, doc, held = Places({START: 0}), [], [], 0
             if held:
                 flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(known), pa.array(base), pa.array(score_)], names=["id", "n_tokens", "n_known", "base_score", "score"])
