@@ -6,7 +6,8 @@ else covers all rows). Sites: the mean of all documents' evidence per host and p
 aggregation, with labels in place of evidence where there are any. Each host is shrunk towards the global mean
 and each path towards its host, with strengths estimated from the spread between hosts and between paths, so
 sparse sites say little. A document's posterior odds are its likelihood ratio times the prior odds of its
-site, from which its own evidence is left out.
+site, from which its own evidence is left out: of its path's, its host's and the global sum. (The two strengths are
+moments over all sites and the same for all documents.)
 """
 
 from __future__ import annotations
@@ -32,14 +33,25 @@ _MARK = re.compile(r"[^\w\s]+")
 _LOUD = re.compile(r"\b[^\W\d_a-z]{3,}\b")
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """Pieces of PIECE characters or more, cut at white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def features(text: str | None) -> list[str]:
     """The set of a text's features."""
     out: set[str] = set()
     words = marks = loud = twice = 0
     seen: set[str] = set()
     text = text or ""
-    for at in range(0, len(text), PIECE) if len(text) > PIECE else [0]:
-        part = text[at : at + PIECE]
+    for part in _pieces(text):
         low = part.lower()
         got, mark = _WORD.findall(low), _MARK.findall(low)
         seen.update(got)
@@ -206,11 +218,14 @@ def _score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_
     all_ = hosts.agg(F.sum("he").alias("e"), F.sum("hn").alias("n")).first()
     mean = (all_["e"] / all_["n"]) if all_["n"] else model.prior
     k1 = _strength(hosts.withColumn("m", F.lit(mean)), "m", "he", "hn")
-    shrunk = hosts.withColumn("hm", (F.lit(k1 * mean) + F.col("he")) / (k1 + F.col("hn"))).select(F.col("host").alias("h_"), "hm")
-    both = materialize(paths.join(shrunk, F.expr("host <=> h_")).select(F.col("host").alias("h_"), F.col("path").alias("p_"), "pe", "pn", "hm"), "sites")
+    shrunk = hosts.withColumn("hm", (F.lit(k1 * mean) + F.col("he")) / (k1 + F.col("hn"))).select(F.col("host").alias("h_"), "hm", "he", "hn")
+    both = materialize(paths.join(shrunk, F.expr("host <=> h_")).select(F.col("host").alias("h_"), F.col("path").alias("p_"), "pe", "pn", "hm", "he", "hn"), "sites")
     k2 = _strength(both, "hm", "pe", "pn")
-    j = join_checked(told, both, F.expr("host <=> h_ and path <=> p_"), "inner", 128)
-    site = (k2 * F.col("hm") + F.col("pe") - F.col("e")) / (k2 + F.col("pn") - 1)
+    j = join_checked(told, both, F.expr("host <=> h_ and path <=> p_"), "inner", 144)
+    e = F.col("e")
+    others = (F.lit(float(all_["e"] or 0.0)) - e) / (all_["n"] - 1) if (all_["n"] or 0) > 1 else F.lit(model.prior)
+    host = (k1 * others + F.col("he") - e) / (k1 + F.col("hn") - 1)
+    site = (k2 * host + F.col("pe") - e) / (k2 + F.col("pn") - 1)
     odds = _logit(F.col("evidence")) - F.lit(math.log(model.prior / (1 - model.prior))) + _logit(F.col("site"))
     out = j.withColumn("site", site).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("site", 6).alias("site"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= threshold).alias("keep"), *extra)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -135,6 +136,56 @@ def test_quality_separates_and_shrinks(spark):
     assert quality.keep_good(docs, labels.where("false")).count() == len(rows)
 
 
+def test_quality_sites_equal_brute_force(spark):
+    """Both levels with each document left out, from the evidence that the query itself returns."""
+    rng = np.random.default_rng(9)
+    words = "calm river green field old stone WIN!! CASH!! house path".split()
+    rows = [(i, " ".join(rng.choice(words, 12)), None if i % 17 == 0 else f"h{i * i % 13}", f"p{i % 3}") for i in range(300)] + [(900, "calm river", "alone", "p"), (901, None, "alone2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = {i: (int("WIN" not in rows[i][1]), int(i % 8 == 0)) for i in range(0, 300, 3)}
+    got = {r["doc_id"]: r for r in quality.score(docs, spark.createDataFrame([(i, *m) for i, m in marks.items()], "doc_id long, quality int, toxic int")).collect()}
+    e = {i: float(marks[i][0] * (1 - marks[i][1])) if i in marks else got[i]["evidence"] for i, *_ in rows}
+    hosts, paths = {}, {}
+    for i, _, h, p in rows:
+        hosts.setdefault(h, []).append(e[i])
+        paths.setdefault((h, p), []).append(e[i])
+
+    def strength(groups):  # (values, expected mean)
+        clip = lambda m: max(min(m, 0.999), 0.001)
+        many = [(v, clip(m)) for v, m in groups if len(v) > 1]
+        between = max(np.mean([(np.mean(v) - m) ** 2 / (m * (1 - m)) for v, m in many]) - np.mean([1 / len(v) for v, _ in many]), 1e-4)
+        return min(max(1 / between - 1, 5.0), 5000.0)
+
+    total, n = sum(e.values()), len(e)
+    k1 = strength([(v, total / n) for v in hosts.values()])
+    hm = {h: (k1 * total / n + sum(v)) / (k1 + len(v)) for h, v in hosts.items()}
+    k2 = strength([(v, hm[h]) for (h, _), v in paths.items()])
+    odds = {}
+    for i, _, h, p in rows:
+        host = (k1 * (total - e[i]) / (n - 1) + sum(hosts[h]) - e[i]) / (k1 + len(hosts[h]) - 1)
+        site = (k2 * host + sum(paths[h, p]) - e[i]) / (k2 + len(paths[h, p]) - 1)
+        assert got[i]["site"] == pytest.approx(site, abs=1e-4), i
+        odds[i] = math.log(got[i]["posterior"] / (1 - got[i]["posterior"])) - math.log(got[i]["evidence"] / (1 - got[i]["evidence"])) - math.log(site / (1 - site)) if 1e-3 < got[i]["posterior"] < 0.999 and 1e-3 < got[i]["evidence"] < 0.999 else None
+        assert got[i]["keep"] == (got[i]["posterior"] >= 0.5)
+    known = [x for x in odds.values() if x is not None]
+    assert len(known) > 20 and max(known) - min(known) < 0.02  # the prior's odds, the same for all
+
+
+def test_quality_leaves_a_sole_document_out(spark):
+    rows = [(i, f"calm river number{i % 7}", f"h{i % 5}", "en") for i in range(60)]
+    marks = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    sites = [next(r["site"] for r in quality.score(spark.createDataFrame(rows + [(99, t, "alone", "x")], "doc_id long, text string, source string, lang string"), marks).collect() if r["doc_id"] == 99) for t in ("calm river", "x " * 50)]
+    assert sites[0] == sites[1]
+
+
+def test_quality_takes_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(quality, "PIECE", 64)
+    long = "river stone " * 40 + "WIN!! " * 30
+    assert {f for f in quality.features(long) if f.startswith("m:")} == {"m:!!"} and {"river", "^rive", "^win"} <= set(quality.features(long))
+    assert {x for x in quality.features(long) if x[1] != ":"} == {"river", "stone", "win", *(f"^{w[:n]}" for w in ("river", "stone", "win") for n in (4, 5))}
+    assert quality.features(None) == quality.features("")
+
+
 def test_quality_judges_null_ids_by_row(spark):
     good, bad = "the calm river flows past green fields and old stone houses ", "WIN!! CASH!! NOW!! CLICK!! "
     rows = [(i, (bad if i % 4 == 0 else good) + f"id{i}", f"h{i % 5}", "en") for i in range(400)]
