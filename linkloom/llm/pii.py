@@ -1,8 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust a score.
 
 Base kinds (email, ip, card, phone) keep every match that passes its validator. Extra kinds (iban,
-ssn, local_phone) are kept where the validator passes and the score, raised by context words within
-CONTEXT characters, reaches THRESHOLD. All of it is built-in SQL functions: a cheap `contains` or
+ssn, local_phone, and secrets: key by a known prefix, secret by an assignment) are kept where the validator passes and the score,
+raised by context words within CONTEXT characters, reaches THRESHOLD. All of it is built-in SQL functions: a cheap `contains` or
 one-character test keeps most texts away from the regular expressions; matches and the pieces
 between them are exploded, and a running sum over the pieces of one document gives the positions,
 so a document with very many matches stays linear.
@@ -13,6 +13,9 @@ and look-behind so that a run is tried from its start only. Both give the same l
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,10 +29,12 @@ KINDS = [
     ("iban", "0", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
     ("ssn", "0", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("local_phone", "0", r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
+    ("key", ("AKIA", "ASIA", "gh", "xox", "sk-", "eyJ", "PRIVATE KEY"), r"(?<![A-Za-z0-9_-])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|gh[oprsu]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"),
+    ("secret", ("=", ":"), r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|(?:api|access|secret|private)[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}+"),
 ]
 BASE = ["email", "ip", "card", "phone"]
 #: Score of a validated match, and context words that raise it by BOOST.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "local_phone": 0.4}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "local_phone": 0.4, "key": 0.9, "secret": 0.6}
 WORDS = {
     "email": "e-?mail|mail|contact|correo|courriel",
     "ip": "ip|address|host|server|adresse",
@@ -38,6 +43,8 @@ WORDS = {
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social security|taxpayer",
     "local_phone": "phone|tel|call|mobile|fax|telefon|t[ée]l[ée]phone|tel[ée]fono",
+    "key": "key|secret|token|aws|auth|login",
+    "secret": "user|login|auth|account|key|secret",
 }
 BOOST = 0.3
 THRESHOLD = 0.6
@@ -76,6 +83,7 @@ def _valid(kind: Column, match: Column) -> Column:
         .when(kind == "phone", n.between(10, 15))
         .when(kind == "iban", mod97(F.replace(match, F.lit(" "), F.lit(""))))
         .when(kind == "ssn", ~match.rlike("^(?:000|666|9)|-00-|-0000$"))
+        .when(kind == "secret", match.rlike("[:=][ \\t]*[\"']?(?=[^ ]*[0-9])(?=[^ ]*[A-Za-z])"))
         .otherwise(True)
     )
 
@@ -107,7 +115,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # matches and pieces are columns of their own: inside a lambda they would be searched for again for each match
     cols = {}
     for kind, needs, pattern in KINDS:
-        has = F.col("digit") if needs == "0" else text.contains(needs) & (F.col("digit") if needs == "+" else F.lit(True))
+        has = F.col("digit") if needs in ("0", "+") else F.lit(True)
+        if needs != "0":
+            has = has & reduce(or_, [text.contains(x) for x in ((needs,) if isinstance(needs, str) else needs)])
         cols[f"m_{kind}"] = F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         cols[f"p_{kind}"] = F.when(has, F.split(text, pattern))
     rows = rows.select("uid", "doc_id", *[c.alias(n) for n, c in cols.items()])
@@ -146,4 +156,5 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")).groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), *[F.count_if(kind == k).alias(f"n_{k}") for k in BASE],
         F.sha2(joined(F.collect_list(F.when(kind.isin(BASE), span))), 256).alias("base_sha256"), joined(F.collect_list(F.when(kind.isNotNull(), span))).alias("spans"),
+        F.count("kind").alias("n_spans"), F.count_if(kind.isin("key", "secret")).alias("n_secret"), F.max("score").alias("top_score"),
     ).drop("uid")
