@@ -243,7 +243,7 @@ def reshard(docs: DataFrame, path: str, shards: int = 16, old_shards: int = 12,
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    out = reshard(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_path(spark, "shards"))
+    out = reshard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), scratch_path(spark, "shards"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
                       F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
