@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text
 
-MAX_RULES = 5000  # rules that one import takes; their table is collected and sent to workers
 _TAG = re.compile(r"(<[^>]+>)")
 _OPEN = re.compile(r"<a[\s>]", re.I)
 _CLOSE = re.compile(r"</a\s*>", re.I)
@@ -67,51 +66,94 @@ class Rule:
         return re.compile(body if self.partial_match else rf"\b{body}\b", 0 if self.case_sensitive else re.I)
 
 
-def rules_of(table: DataFrame) -> list[Rule]:
-    """The rules, newest first: their order is part of what they mean."""
-    rows = table.orderBy(F.col("id").desc()).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+def rules_of(table: DataFrame, most: int | None = None) -> list[Rule]:
+    """The rules, newest first: their order is part of what they mean. They are sent to workers whole; `most` refuses more."""
+    rows = table.orderBy(F.col("id").desc()).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"more than {most} rules")
     names = Rule.__dataclass_fields__
     return [Rule(**{k: v for k, v in r.asDict().items() if k in names}) for r in rows]
 
 
-def apply_rules(post: int | None, content: str, rules: list[Rule], patterns: dict[int, re.Pattern]) -> tuple[str, dict[int, int]]:
-    """content after all active rules in order, and matches per rule; paused rules are counted on the result."""
-    counts: dict[int, int] = {}
-    for active in (True, False):
-        for r in rules:
-            if r.active is not active or not r.keyword or (r.target and r.target == post):
+_WORD = re.compile(r"\w+")
+
+
+class RuleSet:
+    """Rules in order, found by the first word of their keywords, so that a text meets only those that it may hold."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules = [r for active in (True, False) for r in rules if r.active is active and r.keyword]
+        self.patterns = [r.pattern() for r in self.rules]
+        self.by_word: dict[str, list[int]] = {}
+        self.always: list[int] = []  # keywords that may begin within a word
+        for i, r in enumerate(self.rules):
+            word = None if r.partial_match else _WORD.search(r.keyword.lower())
+            (self.by_word.setdefault(word.group(), []) if word else self.always).append(i)
+
+    def candidates(self, content: str) -> list[int]:
+        """Places of the rules whose keyword the text holds. Links put in later add no text outside links, so they are all
+        that can ever match."""
+        low = content.lower()
+        found = [i for w in {*_WORD.findall(low)} & self.by_word.keys() for i in self.by_word[w]] + self.always
+        return sorted(i for i in found if (self.rules[i].keyword in content if self.rules[i].case_sensitive else self.rules[i].keyword.lower() in low))
+
+    def apply(self, post: int | None, content: str) -> tuple[str, dict[int, int]]:
+        """content after all active rules in order, and matches per rule; paused rules are counted on the result."""
+        counts: dict[int, int] = {}
+        todo = self.candidates(content)
+        parts = _parts(content, False)[0] if todo else []
+        for i in todo:
+            r = self.rules[i]
+            if r.target and r.target == post:
                 continue
-            low = content if r.case_sensitive else content.lower()
-            if (r.keyword if r.case_sensitive else r.keyword.lower()) not in low:
-                continue
-            new, n = outside_tags(content, patterns[r.id], lambda m, r=r: anchor_html(m.group(), r.url, r.new_tab, r.nofollow), max(1, r.max_per_post))
-            if n:
-                counts[r.id] = n
-                content = new if active else content
-    return content, counts
+            left, new = max(1, r.max_per_post), []
+            for part, free in parts:
+                n = 0
+                if free and left:
+                    changed, n = self.patterns[i].subn(lambda m, r=r: anchor_html(m.group(), r.url, r.new_tab, r.nofollow), part, count=left)
+                    left -= n
+                new += _parts(changed, False)[0] if n and r.active else [(part, free)]
+            done = max(1, r.max_per_post) - left
+            if done:
+                counts[r.id] = done
+                parts = new
+        return "".join(p for p, _ in parts) if todo else content, counts
+
+
+def _parts(content: str, inside: bool) -> tuple[list[tuple[str, bool]], bool]:
+    """Tags and texts in order, and which of them may take a link."""
+    out = []
+    for part in _TAG.split(content):
+        tag = part.startswith("<") and part.endswith(">")
+        if tag:
+            inside = (inside or bool(_OPEN.match(part))) and not _CLOSE.match(part)
+        if part:
+            out.append((part, not tag and not inside))
+    return out, inside
+
+
+def apply_rules(post: int | None, content: str, rules: list[Rule], patterns: dict[int, re.Pattern] | None = None) -> tuple[str, dict[int, int]]:
+    return RuleSet(rules).apply(post, content)
 
 
 def auto_link(posts: DataFrame, rules: list[Rule]) -> DataFrame:
     """posts (id, content) with linked, the content that readers see."""
-    patterns = {r.id: r.pattern() for r in rules}
-    live = [r for r in rules if r.active]
+    live = RuleSet([r for r in rules if r.active])
 
     @F.pandas_udf("string")
     def run(ids: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else apply_rules(i, c, live, patterns)[0] for i, c in zip(ids, contents)], dtype=object)
+        return pd.Series([None if c is None else live.apply(i, c)[0] for i, c in zip(ids, contents)], dtype=object)
 
     return posts.withColumn("linked", run("id", "content"))
 
 
 def link_counts(posts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, links, posts): how many links each rule makes, paused ones as if they came last."""
-    patterns = {r.id: r.pattern() for r in rules}
+    every = RuleSet(rules)
 
     @F.pandas_udf("array<struct<rule:long,n:int>>")
     def run(ids: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([[] if c is None else [{"rule": k, "n": n} for k, n in apply_rules(i, c, rules, patterns)[1].items()] for i, c in zip(ids, contents)], dtype=object)
+        return pd.Series([[] if c is None else [{"rule": k, "n": n} for k, n in every.apply(i, c)[1].items()] for i, c in zip(ids, contents)], dtype=object)
 
     return posts.select("id", F.explode(run("id", "content")).alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("links"), F.count("*").alias("posts"))
 
@@ -129,15 +171,13 @@ def insert_links(posts: DataFrame, inserts: DataFrame) -> DataFrame:
 def link_map(posts: DataFrame, entries: DataFrame, max_posts: int = 25) -> DataFrame:
     """(id, content, after, n): each entry (place, keyword, url) links up to max_posts posts, by id, that hold its
     keyword and do not link there; entries apply in order to what earlier ones left."""
-    rows = entries.select("place", "keyword", "url").orderBy("place").limit(2000).collect()
-    maps = [(r["place"], r["keyword"], r["url"]) for r in rows if r["keyword"] and r["url"]]
-    table = posts.sparkSession.createDataFrame(maps or [(-1, "", "")], "place int, keyword string, url string").where("place >= 0")
+    table = entries.select("place", "keyword", "url").where("keyword <> '' and url <> ''")
     plain = text.linkable_text(F.col("content"))
     first = F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     # an entry meets only posts that have its first word; then the whole keyword is looked for
     word = F.element_at(F.regexp_extract_all(F.lower("keyword"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1)
     have = posts.select("id", F.explode(F.array_distinct(first)).alias("w"))
-    cand = have.join(F.broadcast(table.withColumn("w", word)), "w").select("id", "place", "keyword", "url")  # at most 2000 entries
+    cand = have.join(table.withColumn("w", word), "w").select("id", "place", "keyword", "url")
     cand = cand.join(posts.select("id", F.lower(plain).alias("plain"), F.col("content").alias("c")), "id").where(F.contains("plain", F.lower("keyword")) & ~F.contains(F.col("c"), F.concat(F.lit('"'), "url", F.lit('"'))))
     rank = F.row_number().over(W.partitionBy("place").orderBy("id"))
     picked = cand.withColumn("r", rank).where(F.col("r") <= max_posts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "keyword", "url"))).alias("jobs"))

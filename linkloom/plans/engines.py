@@ -23,7 +23,8 @@ from linkloom.sources.site import site, site_sql, table
 from linkloom.streaming import clicks as K
 
 from .base import Plans
-from .content import BARE, _flat
+from .content import ANCHORS, BARE, EQUITY, _flat
+from .insight import CANNIBAL, HIST
 
 plans = Plans()
 
@@ -151,13 +152,47 @@ def suggest_external(s, d):
     return S.fixed_targets(posts, names, "external", Z.document_frequency(posts), posts.count())
 
 
-@plans.add("keyword_opportunities", None)
+WORDY = r"[\p{L}\p{M}\p{N}_]"
+
+
+def _whole(phrase: str) -> str:
+    """A whole-word pattern for DuckDB, whose own word boundaries know ASCII only; group 1 is the match."""
+    side = lambda edge, end: f"case when regexp_matches({phrase}, '{edge}') then '(?:{end}|[^{WORDY[1:]})' else '{WORDY}' end"
+    return f"concat('(?i)', {side('^' + WORDY, '^')}, '(', regexp_replace({phrase}, '([^\\p{{L}}\\p{{N}}\\s])', '\\\\\\1', 'g'), ')', {side(WORDY + '$', '$')})"
+
+
+LINKABLE = _flat(BARE.replace("html", r"regexp_replace(text, '(?is)<a\s[^>]*>.*?</a>', ' ', 'g')"))
+KEY = "array_to_string(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ')"
+FOUND = f"""with p as (select doc_id id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 2), ' ') keyword, {LINKABLE} plain from documents), {PAIRS},
+ t as (select id target, keyword, {KEY.format('keyword')} k from p), b as (select id post_id, plain, concat(' ', {KEY.format('plain')}, ' ') ws from p),
+ e as (select post_id, unnest(string_split(trim(ws), ' ')) w, unnest(range(len(string_split(trim(ws), ' ')))) pos from b), q as (select post_id, w, lead(w) over o w2, lead(w, 2) over o w3, lead(w, 3) over o w4 from e window o as (partition by post_id order by pos)),
+ g as (select post_id, w k from q union select post_id, concat_ws(' ', w, w2) from q union select post_id, concat_ws(' ', w, w2, w3) from q union select post_id, concat_ws(' ', w, w2, w3, w4) from q
+  union select post_id, k from b join (select distinct k from t where len(string_split(k, ' ')) > 4) l on contains(ws, concat(' ', k, ' '))),
+ hit as (select post_id, target, keyword, plain from g join t using (k) join b using (post_id) where k <> '' and post_id <> target and contains(lower(plain), lower(keyword)) and (post_id, target) not in (select (src, target) from pairs))
+ select post_id, target, keyword, coalesce(nullif(regexp_extract(plain, {_whole('keyword')}, 1), ''), keyword) phrase from hit"""
+
+
+@plans.add("keyword_opportunities", FOUND)
 def keyword_opportunities(s, d):
     p = text_posts(s, d)
-    return S.keyword_opportunities(p.select(F.col("id").alias("target"), "keyword").where("length(keyword) >= 5"), p, _pairs(s, d)).select("post_id", "target", "keyword", "phrase")
+    return S.keyword_opportunities(p.select(F.col("id").alias("target"), "keyword"), p, _pairs(s, d)).select("post_id", "target", "keyword", "phrase")
+
+
+FIX = site_sql("links", "posts", "url_changes").rstrip() + f""", b as (select distinct src, url, anchor, redirects_to from links where broken_type <> ''),
+ pub as (select id pid, title, slug, concat('https://example.test/p/', id) link from posts where status = 'publish'),
+ tell as (select anchor, list_filter(string_split_regex(lower(anchor), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3 and w not in ({STOP})) ws from (select distinct anchor from b)),
+ keyed as (select anchor, max(struct_pack(n := length(w), w := w)).w w from (select anchor, unnest(ws) w from tell) group by anchor),
+ held as (select anchor, pid, title, link from keyed join pub on list_contains(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+'), w) and contains(lower(title), lower(trim(anchor)))),
+ t4 as (select *, row_number() over (partition by src, url, anchor order by pid) n from b join held using (anchor) where pid <> src),
+ fixes as (select src, url, 1 tier, new_url fix, new_url title from b join url_changes on old_url = url
+  union all select src, url, 2, redirects_to, redirects_to from b where redirects_to <> '' and rtrim(redirects_to, '/') <> rtrim(url, '/')
+  union all select src, url, 3, link, title from b join pub on slug = regexp_extract(rtrim(url, '/'), '[^/]*$') where slug <> ''
+  union all select src, url, 4, link, title from t4 where n <= 4),
+ one as (select src, url, fix, min(struct_pack(tier := tier, title := title)) x from fixes group by all)
+ select * from (select src, url, fix, x.tier tier, x.title title, row_number() over (partition by src, url order by x.tier, fix) rank from one) where rank <= 6"""
 
 
-@plans.add("fix_candidates", None)
+@plans.add("fix_candidates", FIX)
 def fix_candidates(s, d):
     from linkloom.functions.words import weak_words
 
@@ -252,13 +287,14 @@ def export_report(s, d):
     return sinks.report_export(R.with_counts(R.published(site(s, d, "posts")), site(s, d, "links"), site(s, d, "clicks")))
 
 
-@plans.add("export_anchors", None)
+@plans.add("export_anchors", ANCHORS + """select norm anchor, uses total_uses, targets distinct_targets, sources source_posts, generic, ambiguous, repetitive over_used, title target_title, k2.url target_url, k2.target target_post_id, n uses_to_this_target
+ from r join (select norm, goal, count(*) n, max(target) target, min(url) url from k group by norm, goal) k2 using (norm) left join (select id, p_name title from (select p_partkey + 1 id, p_name from part)) p on p.id = k2.target""")
 def export_anchors(s, d):
     k = site(s, d, "links")
     return sinks.anchors_export(anchor_report(k), anchor_targets(k), site(s, d, "posts"))
 
 
-@plans.add("export_equity", None)
+@plans.add("export_equity", EQUITY + "select eq.id post_id, title, concat('https://example.test/p/', eq.id) url, round(r10.r, 8) pagerank, round(relative, 4) relative_equity, depth click_depth, inbound, outbound, is_seed from eq join r10 on r10.id = eq.id")
 def export_equity(s, d):
     return sinks.equity_export(G.equity(site(s, d, "posts"), site(s, d, "links"), rounds=10, epsilon=None))
 
@@ -280,12 +316,13 @@ def export_broken(s, d):
     return sinks.export(rows.select(F.col("src").alias("found_in_post_id"), F.col("title").alias("found_in_title"), "anchor", "url", F.col("broken_type").alias("type")), "broken")
 
 
-@plans.add("export_trends", None)
+@plans.add("export_trends", HIST + "select cast(taken_on as varchar) date, posts published_posts, internal internal_links, external external_links, orphaned, broken, opportunities open_opportunities, avg_depth avg_click_depth from h where taken_on >= date '2024-04-29' - 90")
 def export_trends(s, d):
     return sinks.trends_export(B.series(B.daily(site(s, d, "readings")), date(2024, 4, 29), 90))
 
 
-@plans.add("export_cannibal", None)
+@plans.add("export_cannibal", CANNIBAL + """select severity, similarity, keyword shared_keyword, a post_a_id, '' post_a_title, '' post_a_url, '' post_a_keyword, equity_a post_a_equity, b post_b_id, '' post_b_title, '' post_b_url, '' post_b_keyword, equity_b post_b_equity,
+ stronger suggested_keep_id, '' suggested_keep_title from cr""")
 def export_cannibal(s, d):
     from .insight import _cannibal
 
@@ -316,9 +353,11 @@ def clicks_tumbling(s, d):
     return K.daily_counts(site(s, d, "clicks")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@plans.add("original_case", None)
+@plans.add("original_case", f"select doc_id, coalesce(nullif(regexp_extract(text, {_whole('w')}, 1), ''), w) phrase from (select doc_id, text, upper(regexp_extract(text, '([A-Za-z]{{4,}})[^A-Za-z]*$', 1)) w from documents)")
 def original_case(s, d):
-    return table(s, d, "documents").select("doc_id", text.original_case(F.col("text"), F.lit("the")).alias("phrase"))
+    """The last long ASCII word of each text, in capitals, as the text spells it where it stands as a whole word."""
+    word = F.upper(F.regexp_extract("text", "([A-Za-z]{4,})[^A-Za-z]*$", 1))
+    return table(s, d, "documents").select("doc_id", text.original_case(F.col("text"), word).alias("phrase"))
 
 
 @plans.add("anchor_html", "select p_partkey, concat('<a href=\"https://example.test/?a=1&#038;b=', p_partkey, '\"', case when p_partkey % 2 = 0 then ' target=\"_blank\"' else '' end, case when p_partkey % 6 = 0 then ' rel=\"nofollow noopener\"' when p_partkey % 3 = 0 then ' rel=\"nofollow\"' when p_partkey % 2 = 0 then ' rel=\"noopener\"' else '' end, ' data-auto=\"1\">', p_name, ' &amp; co</a>') html from part")

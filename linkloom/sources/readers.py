@@ -72,12 +72,13 @@ def read_search(spark: SparkSession, path: str) -> DataFrame:
     return search_rows(raw.select(*cols))
 
 
-def read_sitemaps(spark: SparkSession, path: str, label: str, own_host: str, limit: int = 2000) -> DataFrame:
+def read_sitemaps(spark: SparkSession, path: str, label: str, own_host: str, limit: int | None = None) -> DataFrame:
     """(site_label, url, url_hash, title) of the pages that sitemap files under path list, one level of index files
     included by reading all files; the own host's pages and repeated URLs are left out."""
     pages = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
     rows = pages.select(F.trim("loc").alias("url")).where("url <> ''").withColumn("url_hash", text.url_hash(F.col("url"))).groupBy("url_hash").agg(F.min("url").alias("url"))
-    rows = rows.where(~text.host_of(F.col("url")).eqNullSafe(own_host.lower())).orderBy("url").limit(limit)
+    rows = rows.where(~text.host_of(F.col("url")).eqNullSafe(own_host.lower()))
+    rows = rows if limit is None else rows.orderBy("url").limit(limit)
     return rows.select(F.lit(label).alias("site_label"), "url", "url_hash", text.title_from_url(F.col("url")).alias("title"))
 
 

@@ -20,7 +20,7 @@ SITE = {
         case o % 23 when 0 then 404 when 1 then 301 + o % 2 when 2 then 0 when 3 then 404 when 4 then 0 when 5 then 500 else 200 end status_code,
         case when o % 23 = 1 then concat('https://example.test/moved/', t + 1) else '' end redirects_to, created
         from (select l_partkey + 1 src, (l_orderkey * 31 + l_suppkey) % (select count(*) from {part}) t, l_suppkey s, l_orderkey o, l_returnflag = 'A' ext, l_shipdate created
-              from {lineitem} where l_linenumber = 1) x""",
+              from {lineitem} ) x""",
     "clicks": """select user_id % (select count(*) from {part}) + 1 post_id, event_id % (select count(*) from {part}) + 1 target, concat('/p/', event_id % (select count(*) from {part}) + 1) url,
         concat('topic ', event_id % 20) anchor, ts from {events} where event_type = 'click'""",
     "keywords": "select p_partkey + 1 id, p_partkey % 700 + 1 post_id, p_name keyword from {part}",
@@ -36,10 +36,10 @@ SITE = {
     "activity": """select o_orderkey id, o_custkey post_id, case o_orderstatus when 'F' then 'insert' when 'O' then 'replace' else 'remove' end action, o_orderpriority summary,
         case when o_orderkey % 4 = 0 then '' else concat('b', cast(floor(o_orderkey / 50) as bigint)) end batch, o_orderkey % 5 = 0 reverted, o_orderdate created from {orders}""",
     "rejections": """select o_custkey % 60 post_id, o_orderkey % 40 target, concat(case when o_orderkey % 2 = 0 then 'Topic ' else 'topic ' end, o_orderkey % 25) anchor, o_orderkey happened,
-        case when o_orderkey % 331 = 0 then 'restore_anchor' when o_orderkey % 127 = 0 then 'restore_pair' else 'reject' end kind from {orders} where o_orderkey % 11 = 0""",
+        case when o_orderkey % 331 = 0 then 'restore_anchor' when o_orderkey % 127 = 0 then 'restore_pair' else 'reject' end kind from {orders}""",
     "membership": """select p_partkey + 1 post_id, cast(p_size % 12 as bigint) cluster from {part} where p_partkey % 5 <> 0
         union all select p_partkey + 1, cast((p_size + 1) % 12 as bigint) from {part} where p_partkey % 7 = 0 and p_partkey % 5 <> 0""",
-    "parents": "select cast(n_nationkey as bigint) cluster, cast(n_regionkey as bigint) parent from {nation} where n_nationkey < 12",
+    "parents": "select cast(n_nationkey as bigint) cluster, cast(n_regionkey as bigint) parent from {nation}",
     "external": "select concat('nation ', s_nationkey) site_label, concat('https://www.site', s_suppkey, '.example/', replace(s_name, '#', '-'), '/') url, case when s_suppkey % 9 = 0 then '' else s_name end title, s_suppkey imported from {supplier}",
     "url_changes": "select p_partkey + 1 id, concat('https://example.test/p/', p_partkey + 1) old_url, concat('https://example.test/new/', p_partkey + 1) new_url, concat('/p/', p_partkey + 1) old_path, p_partkey % 2 = 0 redirect from {part} where p_partkey % 40 = 0",
 }

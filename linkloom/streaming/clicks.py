@@ -55,7 +55,7 @@ def throttle(clicks: DataFrame, most: int = MOST, window_s: int = WINDOW_S) -> D
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs)).sort_values("ts", kind="stable")
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", *[c for c in cols if c not in ("ts", "client")]], kind="stable")
         have = tuple(state.get) if state.exists else (0, 0.0)
         ok, new = accept([t.timestamp() for t in pdf["ts"]], have, most, window_s)
         state.update(new)
@@ -70,7 +70,7 @@ def throttle_batch(clicks: DataFrame, most: int = MOST, window_s: int = WINDOW_S
     cols = clicks.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
+        pdf = pdf.sort_values(["ts", *[c for c in cols if c not in ("ts", "client")]], kind="stable")  # equal times in one order
         ok, _ = accept([t.timestamp() for t in pdf["ts"]], (0, 0.0), most, window_s)
         return pdf[ok][cols]
 

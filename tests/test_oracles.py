@@ -1,5 +1,6 @@
 """A sample of the registered queries against DuckDB on the smallest tables."""
 
+import numbers
 import os
 
 import pandas as pd
@@ -9,14 +10,14 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["page_links", "page_link_counts", "site_summary", "links_report", "orphan_posts", "link_counts_union_all", "click_report_30", "issue_counts", "http_classify", "dashboard_stats", "anchor_groups", "plain_text",
-          "clusters", "focus_keyword_priority", "keyword_clashes", "semantic_overlap", "rejections_blocked", "history_trends", "activity_retained", "idf", "url_rewrite", "csv_defuse", "export_report", "clicks_tumbling"]
+          "clusters", "focus_keyword_priority", "keyword_clashes", "semantic_overlap", "rejections_blocked", "history_trends", "activity_retained", "idf", "url_rewrite", "csv_defuse", "export_report", "clicks_tumbling", "fix_candidates", "export_anchors", "export_equity", "export_trends", "export_cannibal", "original_case", "undo_batch"]
 
 
 def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple("null" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("null" if pd.isna(v) else f"{v:.6f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(out)
 
 
