@@ -19,6 +19,7 @@ from linkloom.operators import suggest as S
 from linkloom.operators.anchors import report as anchor_report
 from linkloom.operators.anchors import targets as anchor_targets
 from linkloom.sources import readers, sinks
+from linkloom.sources.scratch import written
 from linkloom.sources.site import site, site_sql, table
 from linkloom.streaming import clicks as K
 
@@ -60,7 +61,7 @@ DF = KW.rstrip() + ", dfs as (select term, count(*) df from (select id, term fro
 def _df(s, d):
     posts = text_posts(s, d)
     kw = Z.keywords(posts, 60)
-    return Z.document_frequency(posts, kw, kw)
+    return Z.document_frequency(posts, kw, kw.where("false"))
 
 
 @plans.add("document_frequency_unstemmed", DF + "select term, df from dfs")
@@ -95,8 +96,9 @@ REL = DF.rstrip() + f""", {PAIRS}, n as (select count(*)::double n from document
 
 def _rel(s, d):
     posts = text_posts(s, d)
-    tf = Z.keywords(posts, 40).where("term not like '% %'").select("id", "term", F.col("weight").alias("tf"))
-    return Z.relatedness(_pairs(s, d), Z.weights(tf, _df(s, d), posts.count()))
+    kw = written(Z.keywords(posts, 60))  # read twice
+    tf = kw.where("place <= 40 and term not like '% %'").select("id", "term", F.col("weight").alias("tf"))
+    return Z.relatedness(_pairs(s, d), written(Z.weights(tf, Z.document_frequency(posts, kw, kw.where("false")), posts.count())))
 
 
 @plans.add("relatedness_pairs", REL + "select src, target, round(similarity, 6) similarity from rel")

@@ -46,8 +46,21 @@ SITE = {
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+SPREAD = {"documents", "pages"}  # tables of texts, whose work is in their columns
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of at most SPREAD_BYTES that has fewer partitions than there are cores, dealt to all cores. A file of one row
+    group is one task however large the cluster is; larger tables have splits enough and are never shuffled here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in SPREAD else df
 
 
 def site(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
