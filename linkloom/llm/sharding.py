@@ -196,16 +196,18 @@ def reshard_files(spark: SparkSession, path: str, shards: int = 16, capacities:
                 for s in pdf["s"]:
                     out.append(heap[0][2])
                     heapq.heapreplace(heap, [heap[0][0] + int(s), *heap[0][1:]])
-                pdf["t"] = out
-                return pdf
+                pdf["k"], pdf["t"] = number[pdf["f"].iloc[0]], out
+                return pdf[["k", "i", "s", "t"]]
 
+            number = {f: k for k, (f, *_) in enumerate(torn)}
             df, name, place = _files(spark, path, [where[f] for f, *_ in torn], schema)
             sizes = df.select(name.alias("f"), place.alias("i"), F.col(f"`{df.columns[-1]}`").alias("s"))
-            gone = materialize(sizes.groupBy("f").applyInPandas(deal, "f string, i long, s long, t int"), "dealt")  # a group is one block
-            was = spark.createDataFrame([(f, i) for f, i, _ in torn], "f string, o int")
-            moved += gone.join(F.broadcast(was), "f").where("t <> o").agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
-            boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), name.alias("f"), place.alias("i"))
-            runs.append(join_checked(boxed, gone.drop("s"), ["f", "i"], "inner", 128).select("row.*", F.col("t").alias(to)))
+            gone = materialize(sizes.groupBy("f").applyInPandas(deal, "k int, i long, s long, t int"), "dealt")  # a group is one block
+            was = spark.createDataFrame([(k, i) for k, (_, i, _) in enumerate(torn)], "k int, o int")
+            moved += gone.join(F.broadcast(was), "k").where("t <> o").agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
+            k = F.element_at(F.create_map(*[F.lit(x) for f in number.items() for x in f]), name)  # a torn file for each cut at most
+            boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), k.alias("k"), place.alias("i"))
+            runs.append(join_checked(boxed, gone.drop("s"), ["k", "i"], "inner", 32).select("row.*", F.col("t").alias(to)))
         rows = max(BLOCK_ROWS, -(-sum(r["rows"] for b in held.values() for r in b) // MAX_BLOCKS))
         out = reduce(DataFrame.unionAll, runs).coalesce(MAX_BLOCKS)  # a task of the whole files holds one new shard
         out.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(to).parquet(f"{path}/files/v{version + 1}")
