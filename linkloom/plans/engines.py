@@ -116,7 +116,8 @@ def _frame(s, d):
     clusters = posts.select("id", F.col("source").alias("cluster"))
     needs = posts.select("id", ((F.col("id") * 13 % 11) / F.lit(10.0)).alias("need"))
     linked = _pairs(s, d)
-    return S.pair_frame(posts, links=linked, clusters=clusters, needs=needs)
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return S.pair_frame(posts, links=linked, events=site(s, d, "rejections"), vectors=vectors, clusters=clusters, needs=needs)
 
 
 @plans.add("suggest_outbound", None)
@@ -174,6 +175,15 @@ FOUND = f"""with p as (select doc_id id, array_to_string(list_slice(string_split
  select post_id, target, keyword, coalesce(nullif(regexp_extract(plain, {_whole('keyword')}, 1), ''), keyword) phrase from hit"""
 
 
+@plans.add("suggest_terms", None)
+def suggest_terms(s, d):
+    """Archives of documents, one per first word of their titles, as targets of links."""
+    posts = text_posts(s, d)
+    first = F.lower(F.element_at(F.split("title", " "), 1))
+    filed = posts.where("title <> ''").select(F.xxhash64(first).alias("id"), F.col("id").alias("post_id"), first.alias("title"))
+    return S.term_targets(posts, filed.select("id", "title").distinct(), filed, written(Z.document_frequency(posts)), posts.count())
+
+
 @plans.add("keyword_opportunities", FOUND)
 def keyword_opportunities(s, d):
     p = text_posts(s, d)
