@@ -370,7 +370,7 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
         return pd.DataFrame(out, columns=["kind", "g", "a", "b", "c"])
 
     # tasks in proportion to buckets, whatever the session's number of shuffle partitions
-    merged = materialize(runs.repartition(max(32, 1 << bits >> 2), "g").groupBy("g").applyInPandas(merge, "kind string, g int, a binary, b binary, c binary"), "counts")
+    merged = materialize(runs.repartition(max(4, 1 << bits >> 1), "g").groupBy("g").applyInPandas(merge, "kind string, g int, a binary, b binary, c binary"), "counts")
     eight = merged.where("kind = 'n'").select(F.split(F.col("a").cast("string"), ",").cast("array<long>").alias("a"))
     eight = eight.agg(*[F.coalesce(F.sum(F.col("a")[i]), F.lit(0)).alias(f"n{i}") for i in range(8)]).first()
     d3, d2 = discounts(*eight[:4]), discounts(*eight[4:])
