@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.scoring import need
 from linkloom.operators.reports import published
-from linkloom.sources.scratch import written
+from linkloom.sources.scratch import discard, written
 
 DAMPING, ROUNDS, EPSILON, DEEP = 0.85, 40, 1e-6, 3
 
@@ -26,15 +26,16 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, epsilon: float | None = EPSILON, damping: float = DAMPING, cut_every: int = 5) -> DataFrame:
-    """(id, rank): ranks sum to one; dangling rank is spread evenly; stops after the round in which no rank moved
-    by epsilon (None: never). Each round is one join and one aggregate over edges; the table of ranks is
-    written every few rounds so that the plan stays short and a lost executor costs little."""
+    """(id, rank): ranks sum to one; dangling rank is spread evenly. Each round is one join and one aggregate over edges;
+    the table of ranks is written every `cut_every` rounds so that the plan stays short and a lost executor costs little. Then
+    the last round's moves are looked at: if none reached epsilon (None: never) it stops, so it may run up to
+    cut_every - 1 rounds more than it needs."""
     deg = written(nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outdeg")), "id", "left").fillna(0, ["outdeg"]))
     e = written(edges)
     n = deg.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    rank = deg.withColumn("rank", F.lit(1.0 / n))
+    rank, old = deg.withColumn("rank", F.lit(1.0 / n)), None
     for k in range(1, rounds + 1):
         loose = rank.where("outdeg = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         flow = e.join(rank.where("outdeg > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("outdeg")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
@@ -42,10 +43,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, epsilon:
             "id", "outdeg", (F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.abs(F.col("rank") - (F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0)))).alias("moved"))
         if k % cut_every == 0 or k == rounds:
             new = written(new)
+            if old is not None:
+                discard(old)
+            old = new
             if epsilon is not None and new.agg(F.max("moved")).first()[0] < epsilon:
                 rank = new
                 break
         rank = new
+    if old is not None:  # the last round is always written
+        discard(deg, e)
     return rank.select("id", "rank")
 
 
@@ -65,6 +71,7 @@ def depths(edges: DataFrame, start: DataFrame) -> DataFrame:
         level += 1
         front = written(e.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(front)
+    discard(e)
     return seen
 
 

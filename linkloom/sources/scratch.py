@@ -22,4 +22,15 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut and it outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/linkloom-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._linkloom_table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_linkloom_table", None)
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
