@@ -228,6 +228,17 @@ def greeting(ts: Column) -> Column:
     return F.when(F.hour(ts) < 12, "Good morning").when(F.hour(ts) < 18, "Good afternoon").otherwise("Good evening")
 
 
+#: Features in the order in which a dashboard offers them.
+FEATURES = ["Click Tracking", "AI Suggestions", "Auto-Linking", "Money Pages", "Search Console Priorities"]
+
+
+def unused_features(spark, tracks_clicks: bool, has_ai: bool, rules: DataFrame, posts: DataFrame, search: DataFrame) -> DataFrame:
+    """(place, feature): what the site does not use yet. rules: active; posts: money; search: any rows."""
+    used = [tracks_clicks, has_ai, not rules.where("active").isEmpty(), not posts.where("money").isEmpty(), not search.isEmpty()]
+    rows = [(k, f) for k, (f, u) in enumerate(zip(FEATURES, used)) if not u]
+    return spark.createDataFrame(rows, "place int, feature string")
+
+
 def fix_candidates(broken_links: DataFrame, posts: DataFrame, url_changes: DataFrame, weak: set[str], limit: int = 6) -> DataFrame:
     """(src, url, tier, fix, title, rank): for each broken link a recorded rename, where it lands, a post
     with the same slug, and posts whose title holds the anchor, best tier first.

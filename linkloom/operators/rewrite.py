@@ -158,6 +158,14 @@ def link_counts(posts: DataFrame, rules: list[Rule]) -> DataFrame:
     return posts.select("id", F.explode(run("id", "content")).alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("links"), F.count("*").alias("posts"))
 
 
+def toggled(rules: DataFrame, switches: DataFrame) -> DataFrame:
+    """rules (id, active, ...) after switches (id, active); a null switch deletes its rule. The last of repeated switches is
+    not known, so a rule is switched on if any of them says so."""
+    by = switches.groupBy("id").agg(F.max("active").alias("to_"), F.lit(True).alias("told_"))
+    j = rules.join(by, "id", "left").where("told_ is null or to_ is not null")
+    return j.withColumn("active", F.coalesce("to_", "active")).drop("to_", "told_")
+
+
 def insert_links(posts: DataFrame, inserts: DataFrame) -> DataFrame:
     """(id, content, after): posts with one link each (inserts: id, phrase, url); after is null without a safe place."""
 

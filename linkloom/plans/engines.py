@@ -227,11 +227,48 @@ def url_rewrite(s, d):
 
 
 def _rules(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.element_at(F.split(F.regexp_replace("text", r"[^\p{L}\s]", ""), r"\s+"), 2).alias("keyword"))
-    rows = b.where("length(keyword) >= 2").select((F.col("item_id") + 1).alias("id"), "keyword", F.concat(F.lit("https://example.test/k/"), F.col("item_id").cast("string")).alias("url"), (F.col("item_id") % 3 + 1).cast("int").alias("max_per_post"), (F.col("item_id") % 5 != 0).alias("active"))
+    rows = _rule_rows(s, d)
     return X.rules_of(rows)
 
 
+RULES = """b as (select item_id, string_split_regex(regexp_replace(text, '[^\\p{L}\\s]', '', 'g'), '\\s+')[2] keyword from benchmark),
+ rules as (select item_id + 1 id, keyword, concat('https://example.test/k/', item_id) url, cast(item_id % 3 + 1 as int) max_per_post, item_id % 5 <> 0 active from b where length(keyword) >= 2) """
+
+
+def _rule_rows(s, d):
+    b = table(s, d, "benchmark").select("item_id", F.element_at(F.split(F.regexp_replace("text", r"[^\p{L}\s]", ""), r"\s+"), 2).alias("keyword"))
+    url = F.concat(F.lit("https://example.test/k/"), F.col("item_id").cast("string"))
+    return b.where("length(keyword) >= 2").select((F.col("item_id") + 1).alias("id"), "keyword", url.alias("url"), (F.col("item_id") % 3 + 1).cast("int").alias("max_per_post"), (F.col("item_id") % 5 != 0).alias("active"))
+
+
+@plans.add("export_autolinks", "with " + RULES + "select keyword, url, 0 case_sensitive, 0 partial_match, id % 2 new_tab, 0 nofollow, max_per_post, active::int active from rules")
+def export_autolinks(s, d):
+    off = F.lit(False)
+    rules = _rule_rows(s, d).withColumns({"case_sensitive": off, "partial_match": off, "new_tab": F.col("id") % 2 == 1, "nofollow": off})
+    return sinks.autolinks_export(rules)
+
+
+@plans.add("rule_toggles", "with " + RULES + "select id, keyword, case when id % 7 = 1 then not active else active end active from rules where id % 7 <> 2")
+def rule_toggles(s, d):
+    """Every seventh rule is switched over and every seventh deleted."""
+    rules = _rule_rows(s, d)
+    switches = rules.where("id % 7 in (1, 2)").select("id", F.when(F.col("id") % 7 == 1, ~F.col("active")).alias("active"))
+    return X.toggled(rules, switches).select("id", "keyword", "active")
+
+
+@plans.add("search_load", site_sql("gsc", "posts") + """select url, clicks, impressions, coalesce(id, 0) post_id from gsc left join posts on lower(rtrim(url, '/')) = lower(concat('https://example.test/p/', id))""")
+def search_load(s, d):
+    posts = site(s, d, "posts").select("id", F.concat(F.lit("https://EXAMPLE.test/p/"), F.col("id").cast("string")).alias("link"))
+    return readers.resolve_search(site(s, d, "gsc").drop("post_id"), posts).select("url", "clicks", "impressions", "post_id")
+
+
+@plans.add("unused_features", site_sql("posts", "gsc") + """select k place, f feature from (values (0, 'Click Tracking', false), (1, 'AI Suggestions', true), (2, 'Auto-Linking', (select count(*) > 0 from benchmark where false)), (3, 'Money Pages', (select count(*) > 0 from posts where money)),
+ (4, 'Search Console Priorities', (select count(*) > 0 from gsc))) t(k, f, used) where not used""")
+def unused_features(s, d):
+    none = _rule_rows(s, d).withColumn("active", F.lit(False))
+    return R.unused_features(s, False, True, none, site(s, d, "posts"), site(s, d, "gsc"))
+
+
 @plans.add("autolink_counts", None)
 def autolink_counts(s, d):
     return X.link_counts(_html_posts(s, d), _rules(s, d))

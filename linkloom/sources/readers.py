@@ -72,6 +72,16 @@ def read_search(spark: SparkSession, path: str) -> DataFrame:
     return search_rows(raw.select(*cols))
 
 
+def resolve_search(rows: DataFrame, posts: DataFrame) -> DataFrame:
+    """Search rows (url, ...) with post_id, that of the post (id, link) whose address they name, 0 if none: what a load
+    replaces the stored table with. Addresses that repeat count once, with the row of most impressions."""
+    by = posts.select(text.url_hash(F.col("link")).alias("url_hash"), F.col("id")).groupBy("url_hash").agg(F.min("id").alias("post_id"))
+    cols = [c for c in rows.columns if c != "url_hash"]
+    best = F.max_by(F.struct(*cols), F.struct("impressions", "clicks", "url"))
+    one = rows.withColumn("url_hash", text.url_hash(F.col("url"))).groupBy("url_hash").agg(best.alias("x")).select("url_hash", "x.*")
+    return one.join(by, "url_hash", "left").fillna(0, ["post_id"])
+
+
 def read_sitemaps(spark: SparkSession, path: str, label: str, own_host: str, limit: int | None = None) -> DataFrame:
     """(site_label, url, url_hash, title) of the pages that sitemap files under path list, one level of index files
     included by reading all files; the own host's pages and repeated URLs are left out."""

@@ -43,6 +43,12 @@ def write_csv(df: DataFrame, path: str, kind: str | None = None, rows_per_file:
     csv.option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
+def autolinks_export(rules: DataFrame) -> DataFrame:
+    """Auto-link rules as an import takes them, flags as 0 and 1."""
+    flags = HEADERS["autolinks"].split()[2:]
+    return export(rules.select("keyword", "url", *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in flags]), "autolinks")
+
+
 def report_export(rows: DataFrame) -> DataFrame:
     url = F.concat(F.lit("https://example.test/p/"), F.col("id").cast("string"))
     return export(rows.select(F.col("id").alias("post_id"), "title", F.col("type").alias("post_type"), F.col("outbound").alias("outbound_internal"), F.col("inbound").alias("inbound_internal"), "clicks", url.alias("url")), "report")
