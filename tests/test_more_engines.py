@@ -80,3 +80,25 @@ def test_ranks_converge(spark):
         rank = new
     got = {r["id"]: r["rank"] for r in entry.queries()["equity_converged"](spark, SF).collect()}
     assert got.keys() == rank.keys() and all(got[i] == pytest.approx(rank[i], abs=1e-5) for i in nodes) and sum(got.values()) == pytest.approx(1, abs=1e-4)
+
+
+def test_link_map(spark):
+    """Entries in order, each into the first posts by id that hold its keyword and do not link there, over small contents."""
+    r = random.Random(6)
+    words = "burr grinder kettle scale espresso roast filter café".split()
+    posts = [(k, " ".join(r.choices(words + ["<b>", "</b>", "<a href='/x'>kettle</a>", '<a href="/u1">scale</a>', "KETTLE"], k=15))) for k in range(40)] + [(90, None), (91, "")]
+    entries = [(k, " ".join(r.choices(words, k=r.randint(1, 2))), f"/u{k}") for k in range(12)] + [(20, "", "/no"), (21, "kettle", ""), (22, None, "/n")]
+    state, done = dict(posts), {}
+    for place, keyword, url in sorted(entries):
+        if not keyword or not url:
+            continue
+        low = {i: re.sub(r"\s+", " ", re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?is)<a\b[^>]*>.*?</a>", " ", c or ""))).strip().lower() for i, c in posts}
+        may = [i for i, c in posts if keyword.lower() in low[i] and f'"{url}"' not in c and keyword.split()[0] in re.findall(r"\w+", low[i])]
+        for i in sorted(may)[:5]:
+            m = re.search(rf"\b{re.escape(keyword)}\b", state[i], re.I)
+            new = X.first_outside_tags(state[i], keyword, X.anchor_html(m.group() if m else keyword, url))
+            done.setdefault(i, 0)
+            if new is not None:
+                state[i], done[i] = new, done[i] + 1
+    got = X.link_map(spark.createDataFrame(posts, "id long, content string"), spark.createDataFrame(entries, "place int, keyword string, url string"), 5).collect()
+    assert {r["id"]: (r["after"], r["n"]) for r in got} == {i: (state[i], n) for i, n in done.items()} and sum(done.values()) > 20
