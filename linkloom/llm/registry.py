@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, lm, mixing, pii, quality, sharding, simhash, warc
+from . import ann, bpe, chat, decontaminate, lm, mixing, pii, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_lm_score": lm.op10_lm_score,
+        "op12_bpe": bpe.op12_bpe,
     }
 
 
