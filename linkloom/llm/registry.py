@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, lm, mixing, pii, quality, sharding, simhash, warc
+from . import ann, bpe, chat, decontaminate, lm, mixing, pii, pq, quality, sharding, simhash, warc, whiten
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_lm_score": lm.op10_lm_score,
+        "op11_whitening": whiten.op11_whitening,
         "op12_bpe": bpe.op12_bpe,
+        "op13_vector_codes": pq.op13_vector_codes,
     }
 
 
