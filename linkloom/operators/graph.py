@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkloom.functions.scoring import need
 from linkloom.operators.reports import published
-from linkloom.sources.scratch import discard, written
+from linkloom.sources.scratch import bucketed, discard, written
 
 DAMPING, ROUNDS, EPSILON, DEEP = 0.85, 40, 1e-6, 3
 
@@ -25,33 +25,34 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(out, "id", "left").join(into, "id", "left").fillna(0, ["outbound", "inbound"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, epsilon: float | None = EPSILON, damping: float = DAMPING, cut_every: int = 5) -> DataFrame:
-    """(id, rank): ranks sum to one; dangling rank is spread evenly. Each round is one join and one aggregate over edges;
-    the table of ranks is written every `cut_every` rounds so that the plan stays short and a lost executor costs little. Then
-    the last round's moves are looked at: if none reached epsilon (None: never) it stops, so it may run up to
-    cut_every - 1 rounds more than it needs."""
-    deg = written(nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outdeg")), "id", "left").fillna(0, ["outdeg"]))
-    e = written(edges)
-    n = deg.count()
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, epsilon: float | None = EPSILON, damping: float = DAMPING) -> DataFrame:
+    """(id, rank): ranks sum to one; dangling rank is spread evenly. It stops after the round in which no rank moved by epsilon (None: never).
+
+    Edges are bucketed by their source and ranks by id, so a round shuffles only what flows along the edges (summed before the
+    shuffle). Each round's ranks are a table; the dangling rank and the greatest move are observed while it is written, so a round is one job whose
+    plan is the same in every round."""
+    spark = nodes.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = bucketed(edges, "src", buckets)
+    first = nodes.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outdeg")), "id", "left").fillna(0, ["outdeg"])
+    state = bucketed(first, "id", buckets)
+    n, lost = state.agg(F.count("*"), F.count_if(F.col("outdeg") == 0)).first()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    rank, old = deg.withColumn("rank", F.lit(1.0 / n)), None
-    for k in range(1, rounds + 1):
-        loose = rank.where("outdeg = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+    rank, loose = state.withColumn("rank", F.lit(1.0 / n)), lost / n
+    for _ in range(rounds):
         flow = e.join(rank.where("outdeg > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("outdeg")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
-        new = rank.join(flow, "id", "left").crossJoin(F.broadcast(loose)).select(  # loose is one row
-            "id", "outdeg", (F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.abs(F.col("rank") - (F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0)))).alias("moved"))
-        if k % cut_every == 0 or k == rounds:
-            new = written(new)
-            if old is not None:
-                discard(old)
-            old = new
-            if epsilon is not None and new.agg(F.max("moved")).first()[0] < epsilon:
-                rank = new
-                break
-        rank = new
-    if old is not None:  # the last round is always written
-        discard(deg, e)
+        new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
+        seen = Observation()
+        measured = rank.join(flow, "id", "left").select("id", "outdeg", new.alias("rank"), F.abs(F.col("rank") - new).alias("moved")).observe(
+            seen, F.coalesce(F.sum(F.when(F.col("outdeg") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"), F.max("moved").alias("moved"))
+        after = bucketed(measured, "id", buckets)
+        discard(state)
+        state = rank = after
+        loose = seen.get["loose"]
+        if epsilon is not None and seen.get["moved"] < epsilon:
+            break
+    discard(e)
     return rank.select("id", "rank")
 
 

@@ -27,10 +27,22 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by key: joins on it with tables bucketed alike need no shuffle."""
+    spark, name = df.sparkSession, f"linkloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/linkloom-tables/{name}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._linkloom_table, out._linkloom_name = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that no later plan reads."""
+    """Deletes tables of written() and bucketed() that no later plan reads."""
     for df in tables:
         path = getattr(df, "_linkloom_table", None)
+        if getattr(df, "_linkloom_name", None):
+            df.sparkSession.sql(f"drop table if exists {df._linkloom_name}")
         if path:
             p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
