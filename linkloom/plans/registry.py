@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, engines, insight, reports
+from . import content, engines, insight, reports, upkeep
 
-ALL = [reports, content, insight, engines]
+ALL = [reports, content, insight, engines, upkeep]
 
 
 def queries() -> dict:
