@@ -9,8 +9,10 @@ starts outside the document, and the remaining candidates are verified word for
 
 Plan: the corpus is scanned twice (word counts of benchmark words, then the join) and its words are
 never shuffled: they are exploded, probed against a broadcast table and dropped inside one
-codegen stage. The broadcast side is cut into slices of SLICE_BYTES at most, one scan for each slice
-(one slice for usual benchmarks), so its size has a proven bound whatever the benchmark's size.
+codegen stage. The broadcast side is cut into slices of SLICE_BYTES at most by its measured bytes, one scan for each slice
+(one slice for usual benchmarks). A row of it has a bound too: windows of more than LONG_BYTES (words of a script without spaces can be
+whole texts) are broadcast as hashes of their prefix word and of themselves, and their hits are then compared word for word by a
+join with the windows. So what is broadcast has a proven bound whatever the benchmark holds.
 Candidates are found with full lower-casing (a superset), verification lowers A-Z only.
 """
 
@@ -27,6 +29,8 @@ from .common import discard, drop_rejected, join_checked, lower_ascii, materiali
 #: Between words: ASCII other than digits and letters (A-Z are lowered before they are compared).
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SLICE_BYTES = 64 << 20
+LONG_BYTES = 2048
+ROW_BYTES = 96  # of a broadcast row besides its strings
 
 
 def raw_words(text: Column) -> Column:
@@ -49,20 +53,23 @@ def windows(benchmark: DataFrame, window: int = 10, item_col: str = "item_id", t
         "item_id", F.array_join("w", " ").alias("wtext"), F.size("w").alias("len")).distinct()
 
 
-def _slices(df: DataFrame, key: str, row_bytes: int) -> list[DataFrame]:
-    k = max(1, -(-df.count() * row_bytes // SLICE_BYTES))
+def _slices(df: DataFrame, key: str, *texts: str) -> list[DataFrame]:
+    """df in parts of about SLICE_BYTES at most: its rows and the bytes of its strings are measured."""
+    width = sum((F.octet_length(t) for t in texts), F.lit(ROW_BYTES))
+    k = max(1, -(-(df.agg(F.sum(width)).first()[0] or 0) // SLICE_BYTES))
     return [df] if k == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, text_col: str = "text") -> DataFrame:
-    """(wid, wtext, len, token, off): each distinct window with its rarest word in the corpus."""
+    """(wid, wtext, len, token, off): each distinct window with its rarest word in the corpus. Words are counted by their hashes: should two
+    share one, only the choice of the prefix changes."""
     uniq = materialize(wins.select("wtext", "len").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
     tokens = uniq.select("wid", F.posexplode(F.split(F.lower("wtext"), " ")).alias("off", "token"))
-    vocab = materialize(tokens.select("token").distinct(), "vocab")
-    corpus = docs.select(F.explode(raw_words(F.col(text_col))).alias("word")).select(F.lower("word").alias("token"))
-    counts = reduce(DataFrame.unionAll, [corpus.join(F.broadcast(part), "token", "left_semi").groupBy("token").count() for part in _slices(vocab, "token", 64)])
+    vocab = materialize(tokens.select(F.xxhash64("token").alias("h")).distinct(), "vocab")
+    corpus = docs.select(F.explode(raw_words(F.col(text_col))).alias("word")).select(F.xxhash64(F.lower("word")).alias("h"))
+    counts = reduce(DataFrame.unionAll, [corpus.join(F.broadcast(part), "h", "left_semi").groupBy("h").count() for part in _slices(vocab, "h")])
     counts = materialize(counts, "counts")
-    ranked = tokens.join(counts, "token", "left").groupBy("wid").agg(
+    ranked = tokens.withColumn("h", F.xxhash64("token")).join(counts, "h", "left").groupBy("wid").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "token", "off")).alias("p"))
     out = materialize(uniq.join(ranked, "wid").select("wid", "wtext", "len", "p.token", "p.off"), "prefixes")
     for t in (uniq, vocab, counts):
@@ -74,18 +81,28 @@ def find_windows(docs: DataFrame, prefix: DataFrame, text_col: str = "text") ->
     """docs' columns but the text, with uid, n_words and start, len, wid of each verified window; a row
     with null wid stands for the document itself."""
     keep = [c for c in docs.columns if c != text_col]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("uid"), raw_words(F.col(text_col)).alias("words"))
-    words = base.select(*[F.col(f"`{c}`") for c in keep], "uid", "words", count_words(F.col("words")).alias("n_words"), F.posexplode("words").alias("pos", "word"))
+    columns = [F.col(f"`{c}`") for c in keep]
+    base = docs.select(*columns, F.monotonically_increasing_id().alias("uid"), raw_words(F.col(text_col)).alias("words"))
+    words = base.select(*columns, "uid", "words", count_words(F.col("words")).alias("n_words"), F.posexplode("words").alias("pos", "word"))
+    long_ = F.octet_length("wtext") > LONG_BYTES
+    here = lambda p: lower_ascii(F.array_join(F.slice(words["words"], F.greatest(F.lit(1), words["pos"] - p["off"] + 1), p["len"]), " "))
+    fits = lambda p: (words["pos"] >= p["off"]) & (words["pos"] - p["off"] + p["len"] <= F.size(words["words"]))
+    start = (F.col("pos") - F.col("off")).alias("start")
     found = []
-    for k, part in enumerate(_slices(prefix, "wid", 300)):
+    for k, part in enumerate(_slices(prefix.where(~long_), "wid", "wtext", "token")):
         p = F.broadcast(part)
-        start = words["pos"] - p["off"]
-        fits = (start >= 0) & (start + p["len"] <= F.size(words["words"]))
-        same = lower_ascii(F.array_join(F.slice(words["words"], start + 1, p["len"]), " ")) == p["wtext"]
-        hit = words.join(p, (F.lower(words["word"]) == p["token"]) & fits & same, "left_outer")
+        hit = words.join(p, (F.lower(words["word"]) == p["token"]) & fits(p) & (here(p) == p["wtext"]), "left_outer")
         of = F.col("wid").isNotNull() if k else F.col("wid").isNotNull() | (F.col("pos") == 0)
-        rows = hit.where(of)
-        found.append(rows.select(*[F.col(f"`{c}`") for c in keep], "uid", "n_words", (F.col("pos") - F.col("off")).alias("start"), "len", "wid"))
+        found.append(hit.where(of).select(*columns, "uid", "n_words", start, "len", "wid"))
+    large = prefix.where(long_)
+    if not large.isEmpty():
+        hashed = large.select("wid", "len", "off", F.xxhash64("token").alias("h"), F.xxhash64("wtext").alias("hw"))
+        for part in _slices(hashed, "wid"):
+            p = F.broadcast(part)
+            hit = words.join(p, (F.xxhash64(F.lower(words["word"])) == p["h"]) & fits(p) & (F.xxhash64(here(p)) == p["hw"]))
+            hit = hit.select(*columns, "uid", "n_words", start, p["len"], p["wid"].alias("wid_"), here(p).alias("here_"))
+            exact = hit.join(large.select("wid", "wtext").hint("merge"), F.expr("wid = wid_ and here_ = wtext"))
+            found.append(exact.select(*columns, "uid", "n_words", "start", "len", "wid"))
     return reduce(DataFrame.unionAll, found)
 
 

@@ -44,6 +44,7 @@ RUN = 1 << 21  # trigrams that a task sorts at once
 BATCH = 1 << 19  # tokens scored at once
 BUCKET_BYTES = 12 << 20  # bytes of text per bucket
 CACHE = 1 << 20  # words whose hashes, or counts, a task remembers
+MAPS = 4096  # files that a worker keeps mapped; a process may have some 65,000 maps
 HELD = 256 << 20  # bytes of files that a worker holds where they can't be mapped
 EXTRA = 4  # further bits that cut the groups of words and contexts
 START, END = b" start", b" end"  # no word holds a blank
@@ -246,6 +247,7 @@ class Model:
     d1: tuple[float, float, float]
     contexts: int  # sum of distinct left contexts over words: M
     spare: float  # h of the module's formula
+    files: dict[str, np.ndarray]  # by kind, the numbers of the files that were written
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -354,7 +356,7 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
         place = np.repeat(np.arange(len(pair), dtype=np.uint64), left)
         # a trigram's key is its bigram's place in the bucket and u
         store.save(f"b{g}", k=pair, **_capped(n, "c"), **_capped(value, "m"), t=(place[kept] << np.uint64(32)) | u[kept], **_capped(c[kept], "n"))
-        out = [("n", 0, ",".join(str(x) for x in [*[(c == i).sum() for i in (1, 2, 3, 4)], *[(value == i).sum() for i in (1, 2, 3, 4)]]).encode(), b"", b"")]
+        out = [("n", g, ",".join(str(x) for x in [*[(c == i).sum() for i in (1, 2, 3, 4)], *[(value == i).sum() for i in (1, 2, 3, 4)]]).encode(), b"", b"")]
         hi, lo = np.int64(g >> layout.lo), np.int64(g & ((1 << layout.lo) - 1))
         for part, at in _by_group((hi << np.int64(EXTRA)) | _next(v32, EXTRA)):
             x, total, n1, n2, n3 = _merge([v32[at]], [value[at]], [value[at] == 1], [value[at] == 2], [value[at] > 2])
@@ -383,9 +385,9 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
         mass = np.stack([n1, n2, n3], axis=1) @ np.array(d2 if kind == "u" else d3)
         # of a context v its total and the weight of the level below, of a context u v what its trigrams take
         store.save(f"{kind}{g}", k=k, **({"n": total.astype(np.uint64), "x": mass / total} if kind == "u" else {"x": total - mass}))
-        return pd.DataFrame({"kind": [kind]})
+        return pd.DataFrame({"kind": [kind], "g": [g]})
 
-    materialize(merged.where("kind in ('u', 's')").groupBy("kind", "g").applyInPandas(finish, "kind string"), "done")
+    done = materialize(merged.where("kind in ('u', 's')").groupBy("kind", "g").applyInPandas(finish, "kind string, g int"), "done")
 
     def finish_words(key, words: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         g = int(key[0])
@@ -397,20 +399,24 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
         at = np.minimum(np.searchsorted(k, mine), max(len(k) - 1, 0))
         m = np.where(k[at] == mine, m[at], 0) if len(k) else np.zeros(len(w), np.int64)
         store.save(f"w{g}", k=w, c=c, m=m.astype(np.uint64))
-        return pd.DataFrame([(int(c.sum()), len(w), *[int((m == i).sum()) for i in (1, 2, 3, 4)], int(m.sum()))], columns=["n", "v", "m1", "m2", "m3", "m4", "m"])
+        return pd.DataFrame([(g, int(c.sum()), len(w), *[int((m == i).sum()) for i in (1, 2, 3, 4)], int(m.sum()))], columns=["g", "n", "v", "m1", "m2", "m3", "m4", "m"])
 
     names = ("n", "v", "m1", "m2", "m3", "m4", "m")
     vocabulary = _count_words(text).withColumn("g", F.shiftrightunsigned("h", 64 - layout.word_bits).cast("int"))
     both = vocabulary.groupBy("g").cogroup(merged.where("kind = 'm'").select("g", "a", "b").groupBy("g"))
-    sums = materialize(both.applyInPandas(finish_words, ", ".join(f"{c} long" for c in names)), "sums")
+    sums = materialize(both.applyInPandas(finish_words, ", ".join(f"{c} long" for c in ("g", *names))), "sums")
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    discard(merged)
+    # the numbers of the files that tasks wrote, as many as there are buckets
+    written = [merged.where("kind = 'n'").select(F.lit("b").alias("kind"), "g"), done, sums.select(F.lit("w").alias("kind"), F.col("g").cast("int"))]
+    files = {r["kind"]: np.sort(np.array(r["g"], np.int64)) for t in written for r in t.groupBy("kind").agg(F.collect_set("g").alias("g")).collect()}
+    for t in (merged, done, sums):
+        discard(t)
     d1 = discounts(s["m1"], s["m2"], s["m3"], s["m4"])
     more = s["v"] - s["m1"] - s["m2"]
     spare = (d1[0] * s["m1"] + d1[1] * s["m2"] + d1[2] * more) / s["m"] if s["m"] else 1.0
-    model = Model(store, layout, order, cutoff, s["n"], s["v"], 0, d3, d2, d1, s["m"], spare)
+    model = Model(store, layout, order, cutoff, s["n"], s["v"], 0, d3, d2, d1, s["m"], spare, files)
     end = Reader(model).words(np.array([Hashes()[END]], np.uint64))[0]
-    return Model(store, layout, order, cutoff, s["n"], s["v"], int(end[0]), d3, d2, d1, s["m"], spare)
+    return Model(store, layout, order, cutoff, s["n"], s["v"], int(end[0]), d3, d2, d1, s["m"], spare, files)
 
 
 class Reader:
@@ -423,12 +429,23 @@ class Reader:
         if name in self.files:
             self.files.move_to_end(name)
         else:
-            self.files[name] = self.m.store.load(name) or ({}, 0)
+            self.files[name] = self._load(name)
             self.held += self.files[name][1]
-            while self.held > HELD and len(self.files) > 1:
+            while (self.held > HELD or len(self.files) > MAPS) and len(self.files) > 1:
                 self.held -= self.files.popitem(last=False)[1][1]
         return self.files[name][0]
 
+    def _load(self, name: str) -> tuple[dict[str, np.ndarray], int]:
+        """A file's arrays; none for a bucket that nothing fell into. A file that training wrote and that can't be found is an error."""
+        there = self.m.files.get(name[0])
+        at = np.searchsorted(there, int(name[1:])) if there is not None else 0
+        if there is None or at == len(there) or there[at] != int(name[1:]):
+            return {}, 0
+        got = self.m.store.load(name)
+        if got is None:
+            raise FileNotFoundError(f"file {name} of the language model is not in {self.m.store.root}: lost, or the folder is not mounted on this worker")
+        return got
+
     @staticmethod
     def _find(k: np.ndarray | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys are in a sorted array, and their places there. Keys are looked up in order."""
