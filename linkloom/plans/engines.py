@@ -16,6 +16,7 @@ from linkloom.operators import links as L
 from linkloom.operators import reports as R
 from linkloom.operators import rewrite as X
 from linkloom.operators import suggest as S
+from linkloom.operators import suggest_best as B
 from linkloom.operators.anchors import report as anchor_report
 from linkloom.operators.anchors import targets as anchor_targets
 from linkloom.sources import readers, sinks
@@ -111,35 +112,41 @@ def keyword_overlap_pairs(s, d):
     return _rel(s, d).select("src", "target", F.round("overlap", 6).alias("overlap"))
 
 
-def _frame(s, d):
+def _site(s, d):
+    """What the engine knows of the site: posts, and the rest by name."""
     posts = text_posts(s, d)
     clusters = posts.select("id", F.col("source").alias("cluster"))
     needs = posts.select("id", ((F.col("id") * 13 % 11) / F.lit(10.0)).alias("need"))
-    linked = _pairs(s, d)
     vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return S.pair_frame(posts, links=linked, events=site(s, d, "rejections"), vectors=vectors, clusters=clusters, needs=needs)
+    return posts, dict(links=_pairs(s, d), events=site(s, d, "rejections"), vectors=vectors, clusters=clusters, needs=needs)
+
+
+def _best(s, d, side="src"):
+    posts, known = _site(s, d)
+    return B.best(posts, side, **known)
 
 
 @plans.add("suggest_outbound", None)
 def suggest_outbound(s, d):
-    return S.explain(S.outbound(_frame(s, d))).select("src", "target", "anchor", "tier", "match", "score", "rank", "promoted", "reason")
+    return S.explain(S.outbound(_best(s, d))).select("src", "target", "anchor", "tier", "match", "score", "rank", "promoted", "reason")
 
 
 @plans.add("suggest_inbound", None)
 def suggest_inbound(s, d):
-    return S.inbound(_frame(s, d)).select("src", "target", "anchor", "tier", "match", "score", "rank")
+    return S.inbound(_best(s, d, "target")).select("src", "target", "anchor", "tier", "match", "score", "rank")
 
 
 @plans.add("opportunities", None)
 def opportunities(s, d):
-    return S.opportunities(_frame(s, d)).select("src", "target", "anchor", "match", "impact")
+    return S.opportunities(_best(s, d)).select("src", "target", "anchor", "match", "impact")
 
 
 @plans.add("diagnose_pairs", None)
 def diagnose_pairs(s, d):
-    frame = _frame(s, d)
+    posts, known = _site(s, d)
     asked = _pairs(s, d).unionByName(_pairs(s, d).select(F.col("target").alias("src"), F.col("src").alias("target")))
-    return S.diagnose(asked, frame, text_posts(s, d), S.outbound(frame)).select("src", "target", "stage", "ok")
+    frame = S.pair_frame(posts, **known, asked=asked)
+    return S.diagnose(asked, frame, posts, S.outbound(B.best(posts, "src", **known))).select("src", "target", "stage", "ok")
 
 
 @plans.add("anchor_cascade", None)
