@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,12 +15,14 @@ from pyspark.sql import types as T
 
 from linkloom.functions import scoring, text
 from linkloom.operators.reports import published
-from linkloom.sources.scratch import written
+from linkloom.sources.scratch import discard, written
 
 #: Meta keys of the sources, in order of trust.
 SOURCES = {"rankmath": ("rank_math_focus_keyword", True), "yoast": ("_yoast_wpseo_focuskw", False), "aioseo": (None, False), "seopress": ("_seopress_analysis_target_kw", True)}
 SEMANTIC = 0.86
 
+PIVOTS, SAMPLE = 24, 1000
+
 
 def from_meta(meta: DataFrame, posts: DataFrame, key: str, first_of_list: bool = False) -> DataFrame:
     """(post_id, keyword) of published posts with a value under that meta key."""
@@ -114,34 +118,111 @@ def cosine(a, b):
     return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
 
 
-def overlap_pairs(vectors: DataFrame, threshold: float = SEMANTIC, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs at or above the threshold, rounded to 4 digits.
-
-    Vectors are dealt into blocks of bounded size; each pair of blocks is one matrix product in its own task."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null or isnan(x))")
+def overlap_pairs(vectors: DataFrame, threshold: float = SEMANTIC, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, report: dict | None = None) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs at or above the threshold, rounded to 4 digits: an exact join of angles.
+
+    Every vector is filed under the nearest of a few pivots (far apart, from a sample of at most SAMPLE), in order of its angle to it, in
+    blocks of at most `block` rows. A block knows the range of its vectors' angles to each pivot. By the triangle inequality two vectors
+    within an angle of each other lie within it to every pivot too, so only blocks meet whose ranges do, and of these only the rows that lie
+    within the other's ranges are multiplied. Vectors of different lengths are not compared, nor null, zero ones or ones with null or non-finite
+    components. On vectors without clusters most blocks meet, and the work is quadratic. report gets the number of `compared` pairs."""
+    limit = math.acos(max(-1.0, threshold - 6e-5)) + 1e-6
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    none = vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    if not sample:
+        return none
+    chosen = {w: far_apart(np.array([r["v"] for r in sample if len(r["v"]) == w]), pivots) for w in {len(r["v"]) for r in sample}}
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for w, part in pdf.groupby(pdf["v"].map(len)):
+                angles = np.zeros((len(part), pivots))
+                if w in chosen:  # a length that the sample lacks has no pivots: its vectors are all compared
+                    got = _angles(np.stack(part["v"]), chosen[w])
+                    angles[:, : got.shape[1]] = got
+                    angles[:, got.shape[1] :] = np.inf
+                home = angles.argmin(axis=1)
+                angles[np.isinf(angles)] = 0.0
+                yield pd.DataFrame({"w": w, "home": home, "near": angles[np.arange(len(part)), home], "id": part["id"].to_numpy(), "v": list(part["v"]), "angles": list(angles)})
+
+    filed = rows.mapInPandas(file, "w int, home int, near double, id long, v array<double>, angles array<double>")
     n = max(1, -(-rows.count() // block))
-    part = written(rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")))
-    pair = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o")).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "id", "v")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, size, last = TaskContext.get().partitionId() << 32, 0, None
+        for pdf in batches:  # in order: a block ends where its cell does or where it is full
+            names = []
+            for cell in zip(pdf["w"], pdf["home"]):
+                if last is not None and (cell != last or size == block):
+                    at, size = at + 1, 0
+                names.append(at)
+                size, last = size + 1, cell
+            yield pdf.assign(block=names)
+
+    ordered = filed.repartitionByRange(n, "w", "home", "near", F.xxhash64("id")).sortWithinPartitions("w", "home", "near")
+    part = written(ordered.mapInPandas(cut, "w int, home int, near double, id long, v array<double>, angles array<double>, block long"))
+    spans = [f(F.col("angles")[i]).alias(f"{k}{i}") for i in range(pivots) for k, f in (("l", F.min), ("h", F.max))]
+    shelf = written(part.groupBy("w", "home", "block").agg(F.count("*").alias("n"), *spans))  # a row for each block
+    cells = shelf.groupBy("w", "home").agg(*[f(f"{k}{i}").alias(f"{k}{i}") for i in range(pivots) for k, f in (("l", F.min), ("h", F.max))])  # a row for each pivot and length
+
+    def meeting(left: DataFrame, right: DataFrame, on) -> DataFrame:
+        p, q = left.alias("p"), right.alias("q")
+        near = F.greatest(*[F.greatest(F.col(f"p.l{i}") - F.col(f"q.h{i}"), F.col(f"q.l{i}") - F.col(f"p.h{i}")) for i in range(pivots)], F.lit(0.0)) <= limit
+        return p.join(q, on & near)
+
+    two = meeting(cells, cells, F.col("p.w") == F.col("q.w")).select(F.col("p.w").alias("cw"), F.col("p.home").alias("ph"), F.col("q.home").alias("qh"))
+    named = shelf.join(two, (F.col("w") == F.col("cw")) & (F.col("home") == F.col("ph"))).drop("cw", "ph")
+    pairs = meeting(named, shelf.drop("n"), (F.col("p.w") == F.col("q.w")) & (F.col("p.qh") == F.col("q.home")) & (F.col("p.block") <= F.col("q.block")))
+    pairs = written(pairs.select(F.col("p.block").alias("x"), F.col("q.block").alias("y")))
+    at = lambda c: part.select("block", "id", "v", "angles").join(pairs.withColumn("block", F.col(c)), "block")
+    both = at("x").unionByName(at("y").where("x <> y"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["b"] == pdf["x"]], pdf[pdf["b"] == pdf["y"]]
-        out = []
-        width = {len(v) for v in pdf["v"]}
-        for w in width:
-            p, q = left[left["v"].map(len) == w], right[right["v"].map(len) == w]
-            if not len(p) or not len(q) or not w:
-                continue
-            m, k = np.stack(p["v"]), np.stack(q["v"])
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        left = pdf[pdf["block"] == x]
+        right = left if x == y else pdf[pdf["block"] == y]
+        if x != y:  # rows that lie within reach of the other block's ranges
+            a, b = np.stack(left["angles"]), np.stack(right["angles"])
+            fits = lambda m, o: ((m >= o.min(axis=0) - limit) & (m <= o.max(axis=0) + limit)).all(axis=1)
+            left, right = left[fits(a, b)], right[fits(b, a)]
+        met = len(left) * len(right)
+        out = {"a": [], "b": [], "similarity": []}
+        if met:
+            m, k = np.stack(left["v"]), np.stack(right["v"])
             s = m @ k.T / np.maximum(np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(k, axis=1)[None, :], 1e-300)
             i, j = np.nonzero(s >= threshold - 5e-5)
-            a, b = p["id"].to_numpy()[i], q["id"].to_numpy()[j]
-            same = left is right or (pdf["x"].iloc[0] == pdf["y"].iloc[0])
-            ok = a < b if same else a != b
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": np.round(s[i, j][ok], 4)}))
-        got = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
-        return got[got["similarity"] >= threshold]
-
-    return pair.groupBy("x", "y").applyInPandas(product, "a long, b long, similarity double")
+            a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+            ok = a < b if x == y else a != b
+            out = {"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": np.round(s[i, j][ok], 4)}
+        got = pd.DataFrame(out)
+        got = got[got["similarity"] >= threshold].assign(met=0)
+        return pd.concat([pd.DataFrame({"a": [-1], "b": [-1], "similarity": [0.0], "met": [met if x != y else met // 2]}), got])
+
+    found = written(both.groupBy("x", "y").applyInPandas(product, "a long, b long, similarity double, met long"))
+    if report is not None:
+        report["compared"] = found.agg(F.sum("met")).first()[0]
+    discard(part, shelf, pairs)
+    return found.where("met = 0 and a <> b").select("a", "b", "similarity")
+
+
+def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def far_apart(v: np.ndarray, n: int) -> np.ndarray:
+    """At most n unit vectors of v, each the farthest from those before it."""
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    chosen = [0]
+    near = unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        k = int(near.argmin())
+        if near[k] > 1 - 1e-9:
+            break
+        chosen.append(k)
+        near = np.maximum(near, unit @ unit[k])
+    return unit[chosen]
 
 
 def cannibal(kw: DataFrame, semantic: DataFrame, equity: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
