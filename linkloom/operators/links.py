@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +37,73 @@ def resolve(links: DataFrame, posts: DataFrame, site: str, link_col: str = "link
     return keyed.join(by, "key", "left").withColumn("target", F.coalesce("hit", F.lit(0))).drop("key", "hit")
 
 
-def positions(posts: DataFrame, html_col: str = "html", url_col: str = "url", strict_host: bool = False) -> DataFrame:
-    """(src, n, anchor, url, position): how far into the visible text, from 0 to 1, each internal link stands.
+_BLOCK = re.compile(r"<script[^>]*?>.*?</script>|<style[^>]*?>.*?</style>", re.I | re.S)
+_TAG = re.compile(r"<[^>]*>")
+_BLANK = " \t\n\r\0\x0b"
+
+
+def _measure(html: str) -> int:
+    return len(_TAG.sub("", _BLOCK.sub("", html)).strip(_BLANK))
+
 
-    The text before a link is what stands before its match; split by the link pattern gives the gaps between
-    links, and a running concatenation of lengths would miss tags that span gaps, so each prefix is measured."""
+def visible_before(html: str, starts: list[int]) -> list[int]:
+    """For each offset, in order, how many visible signs stand before it: what strip_tags() leaves of the text up to there. One pass:
+    blocks and tags that end before an offset count, one that it lies in is still text."""
+    rest, blocks, at = [], [], 0  # the text without blocks; each block's start, end and place in it
+    size = 0
+    for m in _BLOCK.finditer(html):
+        rest.append(html[at : m.start()])
+        size += m.start() - at
+        blocks.append((m.start(), m.end(), size))
+        at = m.end()
+    rest.append(html[at:])
+    plain = "".join(rest)
+    tags = [m.span() for m in _TAG.finditer(plain)]
+    seen = _TAG.sub("", plain)
+    lead = len(seen) - len(seen.lstrip(_BLANK))
+    full = [0]  # of each prefix of what is seen, its length without blanks at its end
+    for k, c in enumerate(seen):
+        full.append(full[-1] if c in _BLANK else k + 1)
+    out, b, t, gone, taken = [], 0, 0, 0, 0
+    for p in starts:
+        while b < len(blocks) and blocks[b][1] <= p:
+            gone += blocks[b][1] - blocks[b][0]
+            b += 1
+        if b < len(blocks) and blocks[b][0] < p:
+            out.append(_measure(html[:p]))  # within a script or style, which doesn't end before it
+            continue
+        q = p - gone
+        while t < len(tags) and tags[t][1] <= q:
+            taken += tags[t][1] - tags[t][0]
+            t += 1
+        if t < len(tags) and tags[t][0] < q:  # a tag that is open here is text
+            head = tags[t][0] - taken
+            out.append(head - min(lead, head) + len(plain[tags[t][0] : q].rstrip(_BLANK)))
+        else:
+            out.append(max(0, full[q - taken] - lead))
+    return out
+
+
+def positions(posts: DataFrame, html_col: str = "html", url_col: str = "url", strict_host: bool = False) -> DataFrame:
+    """(src, n, anchor, url, position): how far into the visible text, from 0 to 1, each internal link stands. Each text is
+    read once, however many links it has."""
     c = F.col(html_col)
-    links = text.parse_links(c)
-    gaps = F.split(c, text.ANCHOR)
-    whole = F.regexp_extract_all(c, F.lit(text.ANCHOR), F.lit(0))
-    size = lambda x: F.length(text.strip_tags(x)).cast("double")
-    total = size(c)
-    base = posts.select(F.col("id").alias("src"), text.host_of(F.col(url_col)).alias("own"), c.alias("html"), total.alias("total"), links.alias("links"), gaps.alias("gaps"), whole.alias("whole")).where("total > 0")
-    before = F.transform("links", lambda _, i: F.concat_ws("", F.flatten(F.transform(F.arrays_zip(F.slice("gaps", F.lit(1), i).alias("g"), F.slice("whole", F.lit(1), i).alias("w")), lambda x: F.array(x["g"], x["w"]))), F.get("gaps", i)))
-    rows = base.select("src", "own", "total", F.posexplode(F.arrays_zip("links", before.alias("before"))).alias("n", "x"))
+    lengths = lambda x: F.transform(x, lambda y: F.length(y))
+    base = posts.select(F.col("id").alias("src"), text.host_of(F.col(url_col)).alias("own"), c.alias("html"), F.length(text.strip_tags(c)).cast("double").alias("total"), text.parse_links(c).alias("links"),
+                        lengths(F.split(c, text.ANCHOR)).alias("gaps"), lengths(F.regexp_extract_all(c, F.lit(text.ANCHOR), F.lit(0))).alias("whole")).where("total > 0")
+
+    @F.pandas_udf("array<int>")
+    def before(htmls: pd.Series, gaps: pd.Series, whole: pd.Series) -> pd.Series:
+        out = []
+        for h, g, w in zip(htmls, gaps, whole):
+            starts = np.cumsum(np.array(g[: len(w)], int)) + np.concatenate([[0], np.cumsum(np.array(w, int))[:-1]]) if len(w) else []
+            out.append(visible_before(h, [int(x) for x in starts]))
+        return pd.Series(out, dtype=object)
+
+    rows = base.select("src", "own", "total", F.posexplode(F.arrays_zip("links", before("html", "gaps", "whole").alias("before"))).alias("n", "x"))
     host = text.host_of(F.col("x.links.url"))
     keep = host.isNull() | (host == F.col("own"))
-    return rows.where(keep).select("src", "n", F.col("x.links.anchor").alias("anchor"), F.col("x.links.url").alias("url"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), size(F.col("x.before")) / F.col("total"))).alias("position"))
+    return rows.where(keep).select("src", "n", F.col("x.links.anchor").alias("anchor"), F.col("x.links.url").alias("url"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x.before") / F.col("total"))).alias("position"))
 
 
 def placement(spots: DataFrame, ids: DataFrame) -> DataFrame:

@@ -232,11 +232,13 @@ def greeting(ts: Column) -> Column:
 FEATURES = ["Click Tracking", "AI Suggestions", "Auto-Linking", "Money Pages", "Search Console Priorities"]
 
 
-def unused_features(spark, tracks_clicks: bool, has_ai: bool, rules: DataFrame, posts: DataFrame, search: DataFrame) -> DataFrame:
+def unused_features(tracks_clicks: bool, has_ai: bool, rules: DataFrame, posts: DataFrame, search: DataFrame) -> DataFrame:
     """(place, feature): what the site does not use yet. rules: active; posts: money; search: any rows."""
-    used = [tracks_clicks, has_ai, not rules.where("active").isEmpty(), not posts.where("money").isEmpty(), not search.isEmpty()]
-    rows = [(k, f) for k, (f, u) in enumerate(zip(FEATURES, used)) if not u]
-    return spark.createDataFrame(rows, "place int, feature string")
+    some = lambda df, c, name: df.agg(F.coalesce(F.bool_or(c), F.lit(False)).alias(name))
+    flags = some(rules, F.col("active"), "rules").crossJoin(some(posts, F.col("money"), "money")).crossJoin(some(search, F.lit(True), "search"))  # one row each
+    used = [F.lit(tracks_clicks), F.lit(has_ai), F.col("rules"), F.col("money"), F.col("search")]
+    rows = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(f).alias("feature"), u.alias("used")) for k, (f, u) in enumerate(zip(FEATURES, used))])
+    return flags.select(F.explode(rows).alias("x")).where("not x.used").select("x.place", "x.feature")
 
 
 def fix_candidates(broken_links: DataFrame, posts: DataFrame, url_changes: DataFrame, weak: set[str], limit: int = 6) -> DataFrame:

@@ -1,11 +1,13 @@
 """Rewrites of post contents: auto-links, single insertions, link maps, URL changes, repointing.
 
 Replacement outside markup is a sequential scan over tags and text, and rules apply in order to what earlier ones
-left; so a document's rules are folded over it inside one Arrow UDF. Plain URL changes stay on the JVM.
+left; so a document's rules are folded over it inside one Arrow UDF, to which a join brings those that it may hold. Plain URL changes stay on the JVM.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import html
 import re
 from dataclasses import dataclass
@@ -16,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
+from linkloom.sources.scratch import written
 
 _TAG = re.compile(r"(<[^>]+>)")
 _OPEN = re.compile(r"<a[\s>]", re.I)
@@ -62,24 +65,59 @@ class Rule:
     active: bool = True
 
     def pattern(self) -> re.Pattern:
-        body = re.escape(self.keyword)
-        return re.compile(body if self.partial_match else rf"\b{body}\b", 0 if self.case_sensitive else re.I)
+        return _pattern(self.keyword, self.partial_match, self.case_sensitive)
 
 
-def rules_of(table: DataFrame, most: int | None = None) -> list[Rule]:
-    """The rules, newest first: their order is part of what they mean. They are sent to workers whole; `most` refuses more."""
-    rows = table.orderBy(F.col("id").desc()).collect()
-    if most is not None and len(rows) > most:
-        raise ValueError(f"more than {most} rules")
-    names = Rule.__dataclass_fields__
-    return [Rule(**{k: v for k, v in r.asDict().items() if k in names}) for r in rows]
+@functools.lru_cache(1 << 14)
+def _pattern(keyword: str, partial: bool, case_sensitive: bool) -> re.Pattern:
+    body = re.escape(keyword)
+    return re.compile(body if partial else rf"\b{body}\b", 0 if case_sensitive else re.I)
+
+
+RULE = "id long, keyword string, url string, target long, case_sensitive boolean, partial_match boolean, new_tab boolean, nofollow boolean, max_per_post int, active boolean"
+STARTS = 3  # signs by which keywords that may begin within a word are found
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """rules with all columns of RULE; those that the table lacks, and nulls, have a rule's defaults."""
+    given = {f.name: f.default for f in dataclasses.fields(Rule) if f.default is not dataclasses.MISSING}
+    kinds = dict(x.split(" ") for x in RULE.split(", "))
+    col = lambda c: (F.col(c) if c in rules.columns else F.lit(None)).cast(kinds[c])
+    return rules.select(*[(F.coalesce(col(c), F.lit(given[c])) if c in given else col(c)).alias(c) for c in kinds])
+
+
+def _starts(low, n: int):
+    at = F.when(F.length(low) >= n, F.sequence(F.lit(1), F.length(low) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(F.lit("~"), F.substring(low, i, F.lit(n))))
+
+
+def with_rules(posts: DataFrame, rules: DataFrame) -> DataFrame:
+    """posts (id, content, ...) with rules_, an array of the rules whose keyword the content may hold, newest first; null where there is none.
+
+    Texts and rules meet by a join: a keyword's longest word must be among a text's words. Keywords that may begin within a word meet texts by their
+    first signs. So rules are never gathered in one place, however many there are, and a text carries only its own."""
+    table = rule_table(rules).where("keyword is not null and keyword <> ''")
+    words = F.filter(F.split(F.lower("keyword"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    loose = F.col("partial_match") | (F.size(words) == 0)
+    start = F.substring(F.lower("keyword"), 1, STARTS)
+    keyed = written(table.withColumn("key_", F.when(loose, F.concat(F.lit("~"), start)).otherwise(longest)))
+    lengths = [r["n"] for r in keyed.where(F.col("key_").startswith("~")).select((F.length("key_") - 1).alias("n")).distinct().collect()]  # at most STARTS numbers
+    low = F.lower(F.coalesce("content", F.lit("")))
+    keys = F.split(low, r"[^\p{L}\p{N}_]+")
+    keys = F.concat(keys, *[_starts(low, n) for n in sorted(lengths)])
+    order = F.array_sort(F.collect_list(F.struct((-F.col("rule.id")).alias("o"), "rule")))
+    rule = F.struct(*[F.col(x.split(" ")[0]) for x in RULE.split(", ")]).alias("rule")
+    found = posts.select(F.col("id").alias("post_"), F.explode(F.array_distinct(keys)).alias("key_")).join(keyed.select("key_", rule), "key_")
+    per = found.groupBy("post_").agg(F.transform(order, lambda x: x["rule"]).alias("rules_"))
+    return posts.join(per, posts["id"].eqNullSafe(per["post_"]), "left").drop("post_")
 
 
 _WORD = re.compile(r"\w+")
 
 
 class RuleSet:
-    """Rules in order, found by the first word of their keywords, so that a text meets only those that it may hold."""
+    """One text's rules in order, those that it may hold found by the first word of their keywords."""
 
     def __init__(self, rules: list[Rule]):
         self.rules = [r for active in (True, False) for r in rules if r.active is active and r.keyword]
@@ -136,26 +174,29 @@ def apply_rules(post: int | None, content: str, rules: list[Rule], patterns: dic
     return RuleSet(rules).apply(post, content)
 
 
-def auto_link(posts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """posts (id, content) with linked, the content that readers see."""
-    live = RuleSet([r for r in rules if r.active])
+def _set(rules) -> RuleSet:
+    return RuleSet([Rule(**r) for r in rules])
+
+
+def auto_link(posts: DataFrame, rules: DataFrame) -> DataFrame:
+    """posts (id, content) with linked, the content that readers see. rules: see RULE."""
 
     @F.pandas_udf("string")
-    def run(ids: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else live.apply(i, c)[0] for i, c in zip(ids, contents)], dtype=object)
+    def run(ids: pd.Series, contents: pd.Series, rules_: pd.Series) -> pd.Series:
+        return pd.Series([c if c is None or r is None else _set(r).apply(i, c)[0] for i, c, r in zip(ids, contents, rules_)], dtype=object)
 
-    return posts.withColumn("linked", run("id", "content"))
+    return with_rules(posts, rules.where("active") if "active" in rules.columns else rules).withColumn("linked", run("id", "content", "rules_")).drop("rules_")
 
 
-def link_counts(posts: DataFrame, rules: list[Rule]) -> DataFrame:
+def link_counts(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule, links, posts): how many links each rule makes, paused ones as if they came last."""
-    every = RuleSet(rules)
 
     @F.pandas_udf("array<struct<rule:long,n:int>>")
-    def run(ids: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([[] if c is None else [{"rule": k, "n": n} for k, n in every.apply(i, c)[1].items()] for i, c in zip(ids, contents)], dtype=object)
+    def run(ids: pd.Series, contents: pd.Series, rules_: pd.Series) -> pd.Series:
+        return pd.Series([[] if c is None else [{"rule": k, "n": n} for k, n in _set(r).apply(i, c)[1].items()] for i, c, r in zip(ids, contents, rules_)], dtype=object)
 
-    return posts.select("id", F.explode(run("id", "content")).alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("links"), F.count("*").alias("posts"))
+    met = with_rules(posts.select("id", "content"), rules).where("rules_ is not null")
+    return met.select("id", F.explode(run("id", "content", "rules_")).alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("links"), F.count("*").alias("posts"))
 
 
 def toggled(rules: DataFrame, switches: DataFrame) -> DataFrame:

@@ -233,11 +233,6 @@ def url_rewrite(s, d):
     return X.url_rewrite(_html_posts(s, d), '"/the', '"/new$1/the').select("id", F.md5("after").alias("digest"))
 
 
-def _rules(s, d):
-    rows = _rule_rows(s, d)
-    return X.rules_of(rows)
-
-
 RULES = """b as (select item_id, string_split_regex(regexp_replace(text, '[^\\p{L}\\s]', '', 'g'), '\\s+')[2] keyword from benchmark),
  rules as (select item_id + 1 id, keyword, concat('https://example.test/k/', item_id) url, cast(item_id % 3 + 1 as int) max_per_post, item_id % 5 <> 0 active from b where length(keyword) >= 2) """
 
@@ -273,22 +268,22 @@ def search_load(s, d):
  (4, 'Search Console Priorities', (select count(*) > 0 from gsc))) t(k, f, used) where not used""")
 def unused_features(s, d):
     none = _rule_rows(s, d).withColumn("active", F.lit(False))
-    return R.unused_features(s, False, True, none, site(s, d, "posts"), site(s, d, "gsc"))
+    return R.unused_features(False, True, none, site(s, d, "posts"), site(s, d, "gsc"))
 
 
 @plans.add("autolink_counts", None)
 def autolink_counts(s, d):
-    return X.link_counts(_html_posts(s, d), _rules(s, d))
+    return X.link_counts(_html_posts(s, d), _rule_rows(s, d))
 
 
 @plans.add("autolink_render", None)
 def autolink_render(s, d):
-    return X.auto_link(_html_posts(s, d), _rules(s, d)).select("id", F.md5("linked").alias("digest"), (F.col("linked") != F.col("content")).alias("changed"))
+    return X.auto_link(_html_posts(s, d), _rule_rows(s, d)).select("id", F.md5("linked").alias("digest"), (F.col("linked") != F.col("content")).alias("changed"))
 
 
 @plans.add("link_map", None)
 def link_map(s, d):
-    entries = s.createDataFrame([(r.id, r.keyword, r.url) for r in _rules(s, d)], "place int, keyword string, url string")
+    entries = _rule_rows(s, d).select(F.col("id").alias("place"), "keyword", "url")
     return X.link_map(_html_posts(s, d), entries).select("id", "n", F.md5("after").alias("digest"))
 
 

@@ -3,10 +3,13 @@
 import html
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from linkloom.operators import links as L
 from linkloom.operators import rewrite as X
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +38,42 @@ def test_rule_set_equals_rules_one_by_one():
         assert X.RuleSet(rules).apply(5, content) == naive(5, content, rules)
 
 
+def made_rules(r, n, words):
+    return [X.Rule(k, " ".join(r.choices(words, k=r.randint(1, 2))) if r.random() < 0.8 else r.choice(["rin", "é", "+", "a+", "ur"]), f"/u{k}?a&b", r.choice([0, 0, 5]), r.random() < 0.3, r.random() < 0.3, r.random() < 0.5, r.random() < 0.5, r.randint(1, 3), r.random() < 0.7) for k in range(n)]
+
+
+def test_rules_that_come_by_a_join_equal_all_rules_one_by_one(spark):
+    r = random.Random(9)
+    words = ["burr", "grinder", "Café", "au", "lait", "a+b", "x.y", "grind", "GRINDER", "7", "_z"]
+    rules = made_rules(r, 60, words)
+    bits = words + ["<p>", "</p>", "<a href='grinder'>", "</a>", "<b class='burr'>", "a < b", "x > y", "\n", "&amp;"]
+    posts = [(k, " ".join(r.choices(bits, k=40))) for k in range(1, 40)] + [(90, None), (91, ""), (92, "nothing here")]
+    table = spark.createDataFrame([tuple(getattr(x, c.split(" ")[0]) for c in X.RULE.split(", ")) for x in rules], X.RULE)
+    df = spark.createDataFrame(posts, "id long, content string")
+    ordered = sorted(rules, key=lambda x: -x.id)
+    live = [x for x in ordered if x.active]
+    assert {x["id"]: x["linked"] for x in X.auto_link(df, table).collect()} == {i: None if c is None else naive(i, c, live)[0] for i, c in posts}
+    links, held = {}, {}
+    for i, c in posts:
+        for k, n in naive(i, c or "", ordered)[1].items():
+            links[k], held[k] = links.get(k, 0) + n, held.get(k, 0) + 1
+    assert {x["rule"]: (x["links"], x["posts"]) for x in X.link_counts(df, table).collect()} == {k: (links[k], held[k]) for k in links} and len(links) > 20
+    # columns that are not given, and no rules at all
+    few = spark.createDataFrame([(1, "burr", "/b")], "id long, keyword string, url string")
+    assert X.link_counts(df, few).first()["links"] > 0 and X.link_counts(df, few.where("id > 1")).count() == 0
+    assert X.auto_link(df, few.where("id > 1")).where("not (linked <=> content)").count() == 0
+
+
+def test_many_rules(spark):
+    """20,000 rules, of which each text holds a few: what reaches a text is only these."""
+    rules = spark.range(20000).select("id", F.concat(F.lit("term"), "id", F.lit(" word"), F.col("id") % 50).alias("keyword"), F.concat(F.lit("/k/"), "id").alias("url"))
+    posts = spark.range(300).select("id", F.concat_ws(" ", *[F.concat(F.lit("see term"), (F.col("id") * 61 + k * 17) % 20000, F.lit(" word"), ((F.col("id") * 61 + k * 17) % 20000) % 50, F.lit(".")) for k in range(4)]).alias("content"))
+    met = X.with_rules(posts, rules)
+    assert met.agg(F.max(F.size("rules_")), F.min(F.size("rules_"))).first() == (4, 4)
+    got = X.link_counts(posts, rules).agg(F.sum("links"), F.sum("posts")).first()
+    assert tuple(got) == (1200, 1200)
+
+
 def test_link_positions_and_placement(spark):
     strip = lambda c: re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?is)<script[^>]*?>.*?</script>|<style[^>]*?>.*?</style>", "", c)).strip(" \t\n\r\x00\x0b")
     host = lambda u: re.sub(r"^www\.", "", (re.match(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", u.strip()) or re.match("()", "")).group(1).lower())
@@ -54,6 +93,24 @@ def test_link_positions_and_placement(spark):
     assert {r["src"]: (r["links"], r["first_quarter"], r["last_quarter"], r["shape"]) for r in entry.queries()["placement_summary"](spark, SF).collect()} == shapes
 
 
+def test_visible_text_before_each_offset_is_measured_in_one_pass():
+    r = random.Random(1)
+    bits = ["<p>", "</p>", "<script>", "</script>", "<style x>", "</style>", " ", "\n", "a", "bc", "<", "> ", ">", "<a href='x'>", "</a>", "< b", "\t"]
+    for _ in range(4000):
+        h = "".join(r.choices(bits, k=r.randint(0, 25)))
+        at = sorted({r.randrange(len(h) + 1) for _ in range(4)})
+        assert L.visible_before(h, at) == [L._measure(h[:p]) for p in at]
+
+
+def test_positions_on_a_page_with_ten_thousand_links(spark):
+    page = "<p>word word <a href='/x'>y</a></p>" * 10000
+    df = spark.createDataFrame([(1, page, "https://site.example/"), (2, None, "https://site.example/"), (3, "", None)], "id long, html string, url string")
+    began = time.time()
+    got = {r["n"]: r["position"] for r in L.positions(df).collect()}
+    assert time.time() - began < 60 and len(got) == 10000
+    assert all(got[n] == pytest.approx((11 * n + 9) / 110000) for n in range(1, 10000, 997))
+
+
 def test_click_throttle(spark):
     hits = sorted((str(r["user_id"] % 97), r["ts"], r["event_id"]) for r in spark.read.parquet(f"{SF}/events.parquet").collect())
     want, state = set(), {}
