@@ -8,8 +8,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from linkloom.plans.content import PAGE_LINKS
+from linkloom.operators import suggest as G
+from linkloom.sources import answers as A
 from linkloom.sources.scratch import shared_folder
-from linkloom.sources.site import table
+from linkloom.sources.site import site, site_sql, table
+from linkloom.sources.stored import StoredTable
 from linkloom.streaming import index as I
 from linkloom.streaming import scan as S
 
@@ -73,3 +76,73 @@ def scheduled_reading(s, d):
     if S.scheduled_run(s, posts, state, day, "example.test", budget=0.0, files=3) is None:
         S.scheduled_run(s, posts, state, day, "example.test", files=3)
     return S.history(s, state).select("day", "posts", "internal", "external")
+
+
+@plans.add("stored_search", site_sql("gsc") + "select url, post_id, clicks * 2 clicks, impressions from gsc")
+def stored_search(s, d):
+    """Search rows that a second import replaces."""
+    t = StoredTable(s, _folder(s), "url string, post_id long, clicks long, impressions long")
+    rows = site(s, d, "gsc").select("url", "post_id", "clicks", "impressions")
+    t.load(rows)
+    t.load(t.read().withColumn("clicks", F.col("clicks") * 2))
+    return t.read()
+
+
+@plans.add("stored_keywords", site_sql("keywords", "posts") + """select k.id, post_id, case when money then upper(keyword) else keyword end keyword from keywords k join posts p on p.id = post_id where status <> 'draft'""")
+def stored_keywords(s, d):
+    """Target keywords of which drafts' are deleted and money pages' edited."""
+    t = StoredTable(s, _folder(s), "id long, post_id long, keyword string")
+    t.load(site(s, d, "keywords"))
+    posts = site(s, d, "posts")
+    t.remove(posts.where("status = 'draft'").select(F.col("id").alias("post_id")))
+    money = posts.where("money").select(F.col("id").alias("post_id"))
+    t.upsert(t.read().join(money, "post_id", "left_semi").withColumn("keyword", F.upper("keyword")), ["id"])
+    return t.read()
+
+
+@plans.add("stored_money_flags", site_sql("posts", "clicks") + "select id, (money or id in (select target from clicks)) and status <> 'draft' money from posts")
+def stored_money_flags(s, d):
+    """Money pages: what is clicked becomes one, drafts cease to be."""
+    posts = site(s, d, "posts")
+    t = StoredTable(s, _folder(s), "id long, money boolean")
+    t.load(posts.select("id", "money"))
+    t.flag(site(s, d, "clicks").select(F.col("target").alias("id")), "money", True)
+    t.flag(posts.where("status = 'draft'").select("id"), "money", False)
+    return t.read()
+
+
+@plans.add("stored_sites", site_sql("external") + "select site_label, url, title from external where title <> ''")
+def stored_sites(s, d):
+    """Imported pages of other sites without those that have no title."""
+    t = StoredTable(s, _folder(s), "site_label string, url string, title string")
+    t.load(site(s, d, "external"))
+    t.remove(t.read().where("title = ''").select("url"))
+    return t.read()
+
+
+def _recorded(s, d):
+    """Answers as a model gives them, made of each document's first words."""
+    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), w.alias("w"))
+
+
+@plans.add("llm_keywords", """with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') w from documents where text is not null),
+ k as (select doc_id, unnest([w[1], '  ' || coalesce(w[2], '') || ' ', w[1] || ' ', '', w[3], w[4], w[5], w[6], w[7]]) keyword, unnest(range(9)) pos from w),
+ c as (select doc_id, trim(keyword) keyword, pos from k where trim(keyword) <> ''), f as (select doc_id, arg_min(keyword, pos) keyword, min(pos) pos from c group by doc_id, lower(keyword)),
+ r as (select doc_id post_id, keyword, row_number() over (partition by doc_id order by pos) place from f) select * from r where place <= 5""")
+def llm_keywords(s, d):
+    """Keywords that a model extracts, from recorded answers with blanks and repeats."""
+    w = F.col("w")
+    said = F.to_json(F.array(F.get(w, F.lit(0)), F.concat(F.lit("  "), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit(" ")), F.concat(F.get(w, F.lit(0)), F.lit(" ")), F.lit(""), *[F.get(w, F.lit(k)) for k in range(2, 7)]))
+    return A.keywords_of(_recorded(s, d).select("id", said.alias("answer"))).withColumn("place", F.col("place").cast("long"))
+
+
+@plans.add("llm_suggestions", None)
+def llm_suggestions(s, d):
+    """Suggestions that a model gives, from recorded answers, as far as they hold up."""
+    from linkloom.plans.engines import _pairs, text_posts
+
+    one = lambda k: F.struct(F.get("w", F.lit(k)).alias("phrase"), (F.col("id") + k).alias("target"), ((F.col("id") * 13 + k * 29) % 101).cast("int").alias("match"), F.lit("recorded").alias("reason"))
+    said = _recorded(s, d).select("id", F.to_json(F.array(*[one(k) for k in range(7)])).alias("answer"))
+    rejected = site(s, d, "rejections").where("kind = 'reject'").select(F.col("post_id").alias("src"), "target").distinct()
+    return G.llm_answers(A.suggestions_of(said), text_posts(s, d), _pairs(s, d), rejected)
