@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (one machine), a temporary folder."""
+    """spark.checkpoint.dir; only where it is unset and all runs in one process, a temporary folder. Without it a cluster is refused."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(spark.sparkContext, "_linkloom_tables"):
         spark.sparkContext._linkloom_tables = "file://" + tempfile.mkdtemp(prefix="linkloom-tables-")
     return spark.sparkContext._linkloom_tables
