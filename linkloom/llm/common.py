@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,13 @@ LOWER = UPPER.lower()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and all runs in one process (tests) a temporary folder is made and set; a cluster is refused.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_linkloom_shared", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="linkloom-")
