@@ -126,7 +126,7 @@ def _recorded(s, d):
     return table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), w.alias("w"))
 
 
-@plans.add("llm_keywords", """with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') w from documents where text is not null),
+@plans.add("llm_keywords", r"""with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') w from documents where text is not null),
  k as (select doc_id, unnest([w[1], '  ' || coalesce(w[2], '') || ' ', w[1] || ' ', '', w[3], w[4], w[5], w[6], w[7]]) keyword, unnest(range(9)) pos from w),
  c as (select doc_id, trim(keyword) keyword, pos from k where trim(keyword) <> ''), f as (select doc_id, arg_min(keyword, pos) keyword, min(pos) pos from c group by doc_id, lower(keyword)),
  r as (select doc_id post_id, keyword, row_number() over (partition by doc_id order by pos) place from f) select * from r where place <= 5""")
