@@ -16,7 +16,7 @@ from linkloom.operators import links as L
 from linkloom.operators import reports as R
 from linkloom.operators import rewrite as X
 from linkloom.operators import suggest as S
-from linkloom.operators import suggest_best as B
+from linkloom.operators import suggest_best as SB
 from linkloom.operators.anchors import report as anchor_report
 from linkloom.operators.anchors import targets as anchor_targets
 from linkloom.sources import readers, sinks
@@ -123,7 +123,7 @@ def _site(s, d):
 
 def _best(s, d, side="src"):
     posts, known = _site(s, d)
-    return B.best(posts, side, **known)
+    return SB.best(posts, side, **known)
 
 
 @plans.add("suggest_outbound", None)
@@ -146,7 +146,7 @@ def diagnose_pairs(s, d):
     posts, known = _site(s, d)
     asked = _pairs(s, d).unionByName(_pairs(s, d).select(F.col("target").alias("src"), F.col("src").alias("target")))
     frame = S.pair_frame(posts, **known, asked=asked)
-    return S.diagnose(asked, frame, posts, S.outbound(B.best(posts, "src", **known))).select("src", "target", "stage", "ok")
+    return S.diagnose(asked, frame, posts, S.outbound(SB.best(posts, "src", **known))).select("src", "target", "stage", "ok")
 
 
 @plans.add("anchor_cascade", None)
