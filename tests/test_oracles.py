@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["page_links", "page_link_counts", "site_summary", "links_report", "orphan_posts", "link_counts_union_all", "click_report_30", "issue_counts", "http_classify", "dashboard_stats", "anchor_groups", "plain_text",
           "clusters", "focus_keyword_priority", "keyword_clashes", "semantic_overlap", "rejections_blocked", "history_trends", "activity_retained", "idf", "url_rewrite", "csv_defuse", "export_report", "clicks_tumbling", "fix_candidates", "export_anchors", "export_equity", "export_trends", "export_cannibal", "original_case", "undo_batch",
-          "export_autolinks", "rule_toggles", "search_load", "unused_features"]
+          "export_autolinks", "rule_toggles", "search_load", "unused_features", "undo_batch", "reindex_delta", "scan_progress", "stored_keywords", "stored_money_flags", "equity_buried"]
 
 
 def rows(df):
