@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.operators import keywords as K
 from linkloom.operators import pairs
 from linkloom.operators import suggest as S
+from linkloom.sources.scratch import written
 
 
 @pytest.mark.parametrize("cell", [1, 3, 1000])
@@ -21,6 +23,34 @@ def test_cells_equal_a_join(spark, cell):
     assert got == sorted(map(tuple, a.join(other, "g").where("l < m").select("g", "l", "m").collect())) and len(got) > 100
 
 
+def _merge(spark):
+    normed = [(i, f"k{i % 3}") for i in range(1, 13)] + [(2, "k1"), (5, "k1")]
+    semantic = [(1, 4, 0.9), (1, 2, 0.95), (2, 5, 0.99), (3, 6, 0.41), (7, 8, 0.7), (20, 21, 0.8), (2, 20, 0.9), (2, 5, 0.5)]  # an id that occurs twice gives two rows
+    normed = sorted(set(normed))
+    rows = []
+    for i, n in normed:
+        for j, m in normed:
+            if n == m and i < j:
+                rows += [(i, j, n, s) for a, b, s in semantic if (a, b) == (i, j)] or [(i, j, n, None)]
+    shared = {(a, b) for a, b, *_ in rows}
+    rows += [(a, b, "", s) for a, b, s in semantic if (a, b) not in shared]
+    equity = {i: i * 7 % 5 / 4 for i in range(1, 11)}
+    level = lambda n, s: ("direct" if s is not None and s >= 0.86 else "keyword") if n else "overlap"
+    want = [(a, b, n, s, level(n, s), equity.get(a, 0.0), equity.get(b, 0.0), a if equity.get(a, 0.0) >= equity.get(b, 0.0) else b) for a, b, n, s in rows]
+    return (written(spark.createDataFrame(normed, "post_id long, norm string")), written(spark.createDataFrame(semantic, "a long, b long, similarity double")),
+            spark.createDataFrame(list(equity.items()), "id long, equity double"), want)
+
+
+@pytest.mark.parametrize("cell", [2, 2048])
+def test_merged_pairs_equal_brute_force_and_are_not_shuffled(spark, cell, monkeypatch):
+    monkeypatch.setattr(pairs.within, "__defaults__", (cell,))
+    normed, semantic, equity, want = _merge(spark)
+    df = K.cannibal(normed, semantic, equity)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key) and {r[4] for r in want} == {"direct", "keyword", "overlap"}
+    assert "FullOuter" not in df._jdf.queryExecution().optimizedPlan().toString()  # the pairs of a keyword met the semantic ones by a shuffle of both
+
+
 @pytest.mark.parametrize("keys", [1, 250_000])
 def test_keyword_opportunities_equal_brute_force_and_do_not_shuffle_pairs(spark, keys):
     words = "burr grinder kettle espresso beans Coffee filter".split()
