@@ -51,6 +51,15 @@ def test_merged_pairs_equal_brute_force_and_are_not_shuffled(spark, cell, monkey
     assert "FullOuter" not in df._jdf.queryExecution().optimizedPlan().toString()  # the pairs of a keyword met the semantic ones by a shuffle of both
 
 
+def test_counts_equal_the_pairs_without_making_them(spark, monkeypatch):
+    normed, semantic, equity, want = _merge(spark)
+    monkeypatch.setattr(K, "within", lambda *_: pytest.fail("pairs"))
+    got = dict(map(tuple, K.cannibal_counts(normed, semantic).collect()))
+    assert got == {x: sum(r[4] == x for r in want) for x in ("direct", "keyword", "overlap")}
+    none = semantic.where("false")
+    assert dict(map(tuple, K.cannibal_counts(normed, none).collect())) == {"keyword": sum(1 for r in {(r[0], r[1], r[2]) for r in want if r[2]})}
+
+
 @pytest.mark.parametrize("keys", [1, 250_000])
 def test_keyword_opportunities_equal_brute_force_and_do_not_shuffle_pairs(spark, keys):
     words = "burr grinder kettle espresso beans Coffee filter".split()
