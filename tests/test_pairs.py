@@ -77,3 +77,18 @@ def test_keyword_opportunities_equal_brute_force_and_do_not_shuffle_pairs(spark,
     assert all(x["phrase"].lower() == x["keyword"].lower() and f" {x['phrase']} " in text[x["post_id"]] for x in got)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 3 and "LeftAnti" not in plan  # pairs come of the last join
+
+
+def test_blocks_are_copied_to_tiles_not_to_each_other(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = r.normal(size=(640, 8)).astype("float32")
+    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    s = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(np.round(s, 4) >= 0.8)) if i < j}
+    seen = {}
+    got = K.overlap_pairs(rows, 0.8, block=16, report=seen).collect()
+    assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want) > 100 and seen["compared"] <= 640 * 639 // 2
+    assert seen["copies"] <= 640 * K.TILES  # some 40 blocks each met 40
