@@ -14,8 +14,8 @@ LEFT_OVER = -1
 def grouping(posts: DataFrame, membership: DataFrame) -> DataFrame:
     """(cluster, post_id): published members, and LEFT_OVER for posts in no cluster."""
     pub = published(posts).select(F.col("id").alias("post_id"))
-    inside = membership.select("cluster", "post_id").distinct().join(pub, "post_id", "left_semi").select("cluster", "post_id")
-    rest = pub.join(inside, "post_id", "left_anti").select(F.lit(LEFT_OVER).cast("long").alias("cluster"), "post_id")
+    inside = membership.select("cluster", "post_id").distinct().join(pub.hint("merge"), "post_id", "left_semi").select("cluster", "post_id")  # sides of a site's size: never broadcast
+    rest = pub.join(inside.hint("merge"), "post_id", "left_anti").select(F.lit(LEFT_OVER).cast("long").alias("cluster"), "post_id")
     return inside.unionByName(rest)
 
 
